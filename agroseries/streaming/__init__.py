@@ -1,0 +1 @@
+"""Left empty: every table of this domain is a finished batch, and none of its work is a stream."""
