@@ -110,7 +110,7 @@ def attach_parameters(
         .groupBy(key)
         .agg(
             *[
-                F.max(F.when(F.col("path") == path, F.col("value"))).cast(kind).alias(out)
+                F.max(F.when(F.col("path") == path, F.col("value").cast(kind))).alias(out)
                 for out, path in paths.items()
             ]
         )

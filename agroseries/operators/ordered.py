@@ -13,6 +13,7 @@ keys keep their group and nothing is broadcast.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from agroseries.functions.aggregates import order_key
 from agroseries.sources.shared import checkpointed
 
-BLOCK_ROWS = 8_000_000
+ROWS_PER_TASK = 8_000_000
 
 Blocks = Mapping[str, Column] | None
 
@@ -113,32 +114,39 @@ def _total_of_totals(carry: Carry, finest: str) -> Callable[[Column], Column]:
 
 
 def fit_blocks(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    blocks: Blocks,
-    rows: int = BLOCK_ROWS,
+    df: DataFrame, by: Sequence[str], order: Sequence[str], blocks: Blocks
 ) -> tuple[DataFrame, Blocks]:
-    """The given blocks if none exceeds ``rows`` rows, else blocks cut by Spark itself.
+    """The cheapest cut of the series that keeps every task under ``rows_per_task`` rows.
 
-    One aggregation over the key columns finds the largest block (a single number reaches the
-    driver). Calendar blocks fail only if one day of one series is itself huge; then
-    ``even_blocks`` cuts by the full order key.
+    One aggregation over the key columns measures the longest series and the largest block; a single
+    row of three numbers reaches the driver. Short series need no blocks. Longer ones get the given
+    blocks, and if one of those is too large (most of a site on a single day), Spark cuts by the
+    full order key.
     """
+    limit = rows_per_task(df)
     cells = df.withColumns(dict(blocks or {})).groupBy(*by, *(blocks or {})).count()
-    if (cells.agg(F.max("count")).first()[0] or 0) <= rows:
+    lengths = cells.groupBy(*by).agg(F.sum("count").alias("length"), F.max("count").alias("cell"))
+    longest, largest, total = lengths.agg(F.max("length"), F.max("cell"), F.sum("length")).first()
+    if total is None or longest <= limit:
+        return df, None
+    if blocks and largest <= limit:
         return df, blocks
-    return even_blocks(df, by, order)
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return even_blocks(df, by, order, max(shuffle, 2 * math.ceil(total / limit)))
+
+
+def rows_per_task(df: DataFrame) -> int:
+    """Rows of one series that a task may sort; set ``spark.agroseries.rowsPerTask`` to change it."""
+    return int(df.sparkSession.conf.get("spark.agroseries.rowsPerTask", str(ROWS_PER_TASK)))
 
 
 def even_blocks(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], partitions: int | None = None
+    df: DataFrame, by: Sequence[str], order: Sequence[str], partitions: int
 ) -> tuple[DataFrame, Blocks]:
     """Blocks of about equal size for any distribution: range partitions of (series, order).
 
     The block number is fixed by a checkpoint, as a recomputed range partitioning may cut elsewhere.
     """
-    keys = [*by, *order]
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = df.repartitionByRange(partitions, *by, *order)
     cut = checkpointed(ranged.withColumn("_block", F.spark_partition_id()))
     return cut, {"_block": F.col("_block")}

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from agroseries.functions import columns as c
 from agroseries.functions import constants as k
 from agroseries.operators.ordered import (
-    BLOCK_ROWS,
     Blocks,
     Carry,
     carry_count,
@@ -24,9 +23,10 @@ from agroseries.operators.ordered import (
 INCREMENT = "decimal(18,9)"
 
 
-def _scan(df, by, order, carries, blocks, block_rows, upto=0):
-    if block_rows is not None:
-        df, blocks = fit_blocks(df, by, order, blocks, block_rows)
+def _scan(df, by, order, carries, blocks, bounded=False, upto=0):
+    """Scan with fitted blocks; ``bounded`` series are short by construction and not measured."""
+    if not bounded:
+        df, blocks = fit_blocks(df, by, order, blocks)
     return scan(df, by, order, carries, blocks, upto).drop("_block")
 
 
@@ -36,10 +36,9 @@ def row_index(
     order: Sequence[str],
     blocks: Blocks = None,
     out: str = "timestep",
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """1-based position of each row in its series; ``by=[]`` numbers the whole table."""
-    return _scan(df, by, order, {out: carry_count()}, blocks, block_rows)
+    return _scan(df, by, order, {out: carry_count()}, blocks)
 
 
 def running_sum(
@@ -49,16 +48,17 @@ def running_sum(
     sums: Mapping[str, str | Column],
     blocks: Blocks = None,
     index: str | None = None,
-    block_rows: int | None = BLOCK_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Cumulative sums; ``sums`` maps output names to inputs.
 
-    ``index`` also numbers the rows, in the same scan.
+    ``index`` also numbers the rows, in the same scan. ``bounded`` states that a series cannot be
+    long (one row per month, say), which saves measuring it.
     """
     carries = {out: carry_sum(c.as_column(source)) for out, source in sums.items()}
     if index:
         carries[index] = carry_count()
-    return _scan(df, by, order, carries, blocks, block_rows)
+    return _scan(df, by, order, carries, blocks, bounded)
 
 
 def cumulative_demand(
@@ -71,12 +71,9 @@ def cumulative_demand(
     total: float = k.MALE_THERMAL_TIME,
     cost: float = k.RESPIRATION_COST,
     out: str = "carbon_demand",
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Carbon demand that grows with accumulated thermal time."""
-    summed = running_sum(
-        df, by, order, {out: thermal_time}, blocks, block_rows=block_rows
-    )
+    summed = running_sum(df, by, order, {out: thermal_time}, blocks)
     grown = potential * (F.col(out).cast("double") / total) * cost
     return summed.withColumn(out, grown)
 
@@ -89,10 +86,9 @@ def row_slice(
     last: int | None = None,
     blocks: Blocks = None,
     out: str = "position",
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Rows at positions ``first``..``last`` of each series; ``last=None`` runs to its end."""
-    indexed = row_index(df, by, order, blocks, out, block_rows)
+    indexed = row_index(df, by, order, blocks, out)
     kept = indexed.where(F.col(out) >= first)
     return kept if last is None else kept.where(F.col(out) <= last)
 
@@ -104,9 +100,8 @@ def nth_row(
     n: int,
     blocks: Blocks = None,
     out: str = "position",
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
-    return row_slice(df, by, order, n, n, blocks, out, block_rows)
+    return row_slice(df, by, order, n, n, blocks, out)
 
 
 def lag_step(
@@ -116,12 +111,11 @@ def lag_step(
     values: Mapping[str, str],
     initial: Mapping[str, object] | None = None,
     blocks: Blocks = None,
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Value at the previous step of the same series, ``initial[out]`` at its first step."""
     carries = {out: carry_last(F.col(source), order) for out, source in values.items()}
     carries["_steps_before"] = carry_count()
-    lagged = _scan(df, by, order, carries, blocks, block_rows, upto=-1)
+    lagged = _scan(df, by, order, carries, blocks, upto=-1)
     starts = {
         out: F.when(F.col("_steps_before").isNull(), F.lit(value)).otherwise(F.col(out))
         for out, value in (initial or {}).items()
@@ -176,7 +170,6 @@ def emission_counter(
     increment: Column | str,
     blocks: Blocks = None,
     out: str = "emitted",
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Organs present after each step, when at most one is emitted per step.
 
@@ -186,8 +179,7 @@ def emission_counter(
     row-by-row state: two scans, one for the position and the accumulated amount, one for the
     minimum.
     """
-    if block_rows is not None:
-        df, blocks = fit_blocks(df, by, order, blocks, block_rows)
+    df, blocks = fit_blocks(df, by, order, blocks)
     amount = c.as_column(increment).cast(INCREMENT)
     first = scan(
         df,
@@ -213,7 +205,6 @@ def emission_sweep(
     parameters: Sequence[Mapping[str, float | str]],
     blocks: Blocks = None,
     out: str = "emitted",
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """The counter under several parameter sets side by side.
 
@@ -225,7 +216,7 @@ def emission_sweep(
     sets = F.array(*[F.struct(*[F.lit(p[n]).alias(n) for n in names]) for p in parameters])
     swept = df.withColumn("_set", F.explode(sets)).select(*df.columns, "_set.*")
     return emission_counter(
-        swept, ["param_id", *by], order, increment, blocks, out, block_rows
+        swept, ["param_id", *by], order, increment, blocks, out
     ).drop(*[n for n in names if n != "param_id"])
 
 
@@ -241,10 +232,9 @@ def age_ramp_series(
     blocks: Blocks = None,
     step: str = "timestep",
     out: str = "nfruits",
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """A potential that ramps up with the step number of the series."""
-    indexed = row_index(df, by, order, blocks, step, block_rows)
+    indexed = row_index(df, by, order, blocks, step)
     return indexed.withColumn(
         out, c.age_ramp(step, age_start, age_end, value_start, value_end) * potential
     )

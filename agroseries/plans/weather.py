@@ -10,19 +10,18 @@ from pyspark.sql import functions as F
 from agroseries.functions import columns as c
 from agroseries.functions import constants as k
 from agroseries.operators.joins import common_period
-from agroseries.operators.ordered import BLOCK_ROWS, Blocks
+from agroseries.operators.ordered import Blocks
 from agroseries.operators.reshape import drop_missing, select_renamed
 from agroseries.operators.series import month_index, row_index
 
 
-def month_blocks(date: str = "date") -> dict[str, Column]:
-    """Default blocks of a daily series: its calendar months."""
-    return {"_month": c.month_start(date)}
+def day_blocks(date: str = "date") -> dict[str, Column]:
+    """Blocks of a series with many rows a day; there are no more of them than days."""
+    return {"_day": F.col(date)}
 
 
-def day_blocks(date: str = "date") -> dict[str, Column]:
-    """Blocks for series with many rows a day: months, then days."""
-    return {"_month": c.month_start(date), "_day": F.col(date)}
+def hour_blocks(time: str) -> dict[str, Column]:
+    return {"_hour": F.date_trunc("hour", F.col(time))}
 
 
 def normalize_weather(
@@ -57,11 +56,10 @@ def index_weather(
     date: str = "date",
     blocks: Blocks = None,
     offset: int = k.MONTH_OFFSET,
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Step number within each site and month number over all of them."""
     monthly = month_index(df, date, offset)
-    return row_index(monthly, by, order, blocks or month_blocks(date), block_rows=block_rows)
+    return row_index(monthly, by, order, blocks)
 
 
 def prepare_weather(
@@ -71,9 +69,8 @@ def prepare_weather(
     date: str = "date",
     blocks: Blocks = None,
     offset: int = k.MONTH_OFFSET,
-    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Complete rows of the period common to all sites, with step and month numbers."""
     complete = drop_missing(df)
     aligned = common_period(complete, by, date)
-    return index_weather(aligned, by, order, date, blocks, offset, block_rows)
+    return index_weather(aligned, by, order, date, blocks, offset)

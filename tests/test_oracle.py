@@ -35,6 +35,21 @@ def table(names, rows):
     return [names[i] for i in order], sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
+SERIES = (
+    "row_index row_index_global running_sum cumulative_demand row_slice nth_row lag_step "
+    "emission_counter emission_sweep age_ramp month_rollup weather_preparation"
+).split()
+
+
+@pytest.mark.parametrize("name", SERIES)
+def test_same_rows_when_series_are_cut(spark, duck, name):
+    spark.conf.set("spark.agroseries.rowsPerTask", "50")
+    try:
+        test_same_rows(spark, duck, name)
+    finally:
+        spark.conf.unset("spark.agroseries.rowsPerTask")
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_same_rows(spark, duck, name):
     df = queries()[name](spark, SF)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agroseries.functions import constants as k
-from agroseries.operators.series import month_index
+from agroseries.operators.series import month_index, running_sum
 from agroseries.plans.weather import day_blocks
 
 MONEY = "decimal(18,2)"
@@ -29,10 +29,6 @@ def step_of(date: Column | str) -> Column:
     return F.date_diff(date, F.lit(EPOCH).cast("date"))
 
 
-def hour_blocks(ts: str = "ts") -> dict[str, Column]:
-    return {"_day": F.col(ts).cast("date"), "_hour": F.hour(ts)}
-
-
 # orders: rows of a site series, ordered by (date, id) ---------------------------------------
 
 SERIES_ORDER = ["date", "id"]
@@ -69,8 +65,6 @@ months AS (
 
 def plants(spark: SparkSession, sf: str) -> DataFrame:
     """A plant output per site and step, with running totals, step and month numbers."""
-    from agroseries.operators.series import running_sum
-
     measured = months(spark, sf).select(
         "Site",
         "date",
@@ -151,15 +145,16 @@ organs AS (
 
 def leaves(spark: SparkSession, sf: str) -> DataFrame:
     """One row per leaf and day."""
-    flag = F.max(F.col("l_returnflag"))
+    # the code of the letter, as a numeric maximum keeps the hash aggregation
+    flag = F.max(F.ascii("l_returnflag"))
     date = F.col("l_shipdate").cast("date")
     return (
         read(spark, sf, "lineitem")
         .groupBy(F.col("l_linestatus").alias("Site"), F.col("l_partkey").alias("node"), date.alias("date"))
         .agg(
             F.max(F.col("l_quantity").cast("int")).alias("rank"),
-            F.when(flag == "R", k.PRUNED)
-            .when(flag == "A", k.OPENED)
+            F.when(flag == ord("R"), k.PRUNED)
+            .when(flag == ord("A"), k.OPENED)
             .otherwise(k.UNDETERMINED)
             .alias("state"),
             F.sum(F.col("l_quantity").cast(MONEY)).alias("leaf_area"),
@@ -185,8 +180,6 @@ leaves AS (
 
 def scenario_plants(spark: SparkSession, sf: str) -> DataFrame:
     """Daily harvest of each scenario with its running total; scenario tags come from the rows."""
-    from agroseries.operators.series import running_sum
-
     date = F.col("l_shipdate").cast("date")
     daily = (
         read(spark, sf, "lineitem")
@@ -204,7 +197,7 @@ def scenario_plants(spark: SparkSession, sf: str) -> DataFrame:
         ["rank_leaves_left", "window_duration"],
         ["timestep"],
         {"biomass_bunch_harvested_cum": "biomass_bunch_harvested"},
-        block_rows=None,
+        bounded=True,
     )
     return month_index(totals)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from agroseries.functions import constants as k
 from agroseries.operators import reshape, series
-from agroseries.plans.weather import day_blocks
+from agroseries.plans.weather import day_blocks, hour_blocks
 from workload import roles
 from workload.registry import doubles, num, query
 from workload.roles import FINE, FINE_ORDER, ORGANS, PERCENT, SERIES, SERIES_ORDER
@@ -35,7 +35,7 @@ FROM fine"""
 )
 def cumulative_demand(spark, sf):
     rows = roles.fine(spark, sf).select("node", "ts", "event_id", "value")
-    demand = series.cumulative_demand(rows, ["node"], FINE_ORDER, "value", roles.hour_blocks())
+    demand = series.cumulative_demand(rows, ["node"], FINE_ORDER, "value", hour_blocks("ts"))
     return demand.select("event_id", "node", "carbon_demand")
 
 
@@ -48,7 +48,7 @@ SELECT * FROM placed WHERE position BETWEEN 10 AND 20"""
 )
 def row_slice(spark, sf):
     rows = roles.fine(spark, sf).select("node", "ts", "event_id")
-    return series.row_slice(rows, ["node"], FINE_ORDER, 10, 20, roles.hour_blocks()).drop("ts")
+    return series.row_slice(rows, ["node"], FINE_ORDER, 10, 20, hour_blocks("ts")).drop("ts")
 
 
 @query(
@@ -79,7 +79,7 @@ def lag_step(spark, sf):
         FINE_ORDER,
         {"value_before": "value", "state_before": "state"},
         {"value_before": 0},
-        roles.hour_blocks(),
+        hour_blocks("ts"),
     )
     return doubles(lagged.select("event_id", "node", "value_before", "state_before"))
 
@@ -104,7 +104,7 @@ SELECT event_id, node, emitted FROM counted"""
 def emission_counter(spark, sf):
     rows = roles.fine(spark, sf).select("node", "ts", "event_id", "value")
     counted = series.emission_counter(
-        rows, ["node"], FINE_ORDER, F.col("value") * F.lit(PERCENT), roles.hour_blocks()
+        rows, ["node"], FINE_ORDER, F.col("value") * F.lit(PERCENT), hour_blocks("ts")
     )
     return counted.select("event_id", "node", "emitted")
 
@@ -152,7 +152,7 @@ def emission_sweep(spark, sf):
         speed_initial=F.col("speed_initial"), speed_mature=F.col("speed_mature")
     )
     swept = series.emission_sweep(
-        observed, ["node"], FINE_ORDER, increment, SETS, roles.hour_blocks()
+        observed, ["node"], FINE_ORDER, increment, SETS, hour_blocks("ts")
     )
     return swept.select("param_id", "event_id", "node", "emitted")
 
