@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from agroseries.functions.aggregates import order_key
 from agroseries.sources.shared import checkpointed
 
-ROWS_PER_TASK = 8_000_000
+ROWS_PER_TASK = 4_000_000
 
 Blocks = Mapping[str, Column] | None
 

@@ -29,12 +29,14 @@ def rollup(
     maxima: Pairs = None,
     minima: Pairs = None,
     counts: Pairs = None,
+    others: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One aggregation with any mix of aggregates; each mapping is output name to input.
 
     ``month`` names a date column whose first value is floored to its month (output ``date``),
     ``span`` a step column whose covered steps are counted (output ``nb_timesteps``). ``counts``
-    maps to conditions. Everything is computed in a single shuffle with map-side combine.
+    maps to conditions, ``others`` to ready aggregate expressions. Everything is computed in a single
+    shuffle with map-side combine.
     """
     parts: list[Column] = []
     if month:
@@ -53,6 +55,7 @@ def rollup(
     ]
     for pairs, make in kinds:
         parts += [make(source).alias(out) for out, source in (pairs or {}).items()]
+    parts += [expression.alias(out) for out, expression in (others or {}).items()]
     return df.groupBy(*keys).agg(*parts)
 
 

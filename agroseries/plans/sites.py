@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agroseries.functions import aggregates as a
 from agroseries.functions import columns as c
+from agroseries.functions import constants as k
 from agroseries.operators.joins import join_complete, join_weather
 from agroseries.operators.rollup import rollup, year_rollup
 from agroseries.operators.series import running_sum
@@ -60,6 +62,51 @@ def plant_years(plant: DataFrame, keys: Sequence[str] = ("Site",)) -> DataFrame:
     )
 
 
+def female_months(
+    female: DataFrame, keys: Sequence[str] = SITE_MONTH, order: a.Order = "timestep"
+) -> DataFrame:
+    """Bunches per month: number and mass harvested, and the mean mass of those with any."""
+    mass = "biomass_bunch_harvested"
+    return rollup(
+        female,
+        keys,
+        order,
+        month="date",
+        span="timestep",
+        counts={"n_bunches_harvested": F.col("state") == k.HARVESTED},
+        sums={mass: mass},
+        others={f"{mass}_average": a.mean_where(mass, F.col(mass) > 0)},
+    )
+
+
+def male_months(
+    male: DataFrame, keys: Sequence[str] = SITE_MONTH, order: a.Order = "timestep"
+) -> DataFrame:
+    """Male inflorescences per month by state, with the mean mass of the senescent ones (0 if none)."""
+    senescent = F.col("state") == k.SENESCENT
+    return rollup(
+        male,
+        keys,
+        order,
+        month="date",
+        span="timestep",
+        counts={
+            "n_males_harvested": F.col("state") == k.HARVESTED,
+            "n_males_senescent": senescent,
+        },
+        others={
+            "biomass_avg": F.coalesce(a.mean_where("biomass", senescent), F.lit(0.0)),
+        },
+    )
+
+
+def emitted_leaves(
+    leaf: DataFrame, keys: Sequence[str] = ("Site", "timestep"), rank_above: int = 0
+) -> DataFrame:
+    """Leaves per step with a rank above a limit."""
+    return rollup(leaf, keys, counts={"rank": F.col("rank") > rank_above})
+
+
 def compare_observations(
     observed: DataFrame,
     months: DataFrame,

@@ -11,7 +11,7 @@ from agroseries.functions import columns as c
 from agroseries.functions import constants as k
 from agroseries.operators.joins import common_period
 from agroseries.operators.ordered import Blocks
-from agroseries.operators.reshape import drop_missing, select_renamed
+from agroseries.operators.reshape import drop_missing, extend_years, select_renamed
 from agroseries.operators.series import month_index, row_index
 
 
@@ -74,3 +74,17 @@ def prepare_weather(
     complete = drop_missing(df)
     aligned = common_period(complete, by, date)
     return index_weather(aligned, by, order, date, blocks, offset)
+
+
+def generate_weather(
+    df: DataFrame,
+    copies: Sequence[tuple[str, str, int]],
+    start: str,
+    by: Sequence[str] = (),
+    order: Sequence[str] = ("date",),
+    date: str = "date",
+    blocks: Blocks = None,
+    offset: int = k.MONTH_OFFSET,
+) -> DataFrame:
+    """A longer series made by repeating years of a shorter one, with step and month numbers."""
+    return index_weather(extend_years(df, copies, start, date), by, order, date, blocks, offset)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from agroseries.operators import joins, reshape, rollup, scales
 from agroseries.operators.series import month_index
-from agroseries.plans import sites
+from agroseries.plans import outputs, sites
 from workload import roles
 from workload.registry import doubles, query
 from workload.roles import MONTHS, ORGANS, SERIES
@@ -153,3 +153,52 @@ def scale_slice(spark, sf):
     chosen = {"Opened": ["rank", "leaf_area"], "Pruned": []}
     slices = reshape.slice_scales(roles.organs(spark, sf), chosen, organ="state")
     return doubles(slices["Opened"])
+
+
+CALENDAR = """
+calendar AS (SELECT timestep, min(date) AS day FROM organs GROUP BY 1),
+dated AS (SELECT o.*, c.day FROM organs o LEFT JOIN calendar c ON o.timestep = c.timestep)"""
+
+
+def opened_long(spark, sf):
+    rows = roles.organs(spark, sf)
+    calendar = rows.groupBy("timestep").agg(F.min("date").alias("day"))
+    outputs_table = rows.select("timestep", "node", "state", "leaf_area", "biomass").withColumns(
+        {n: F.col(n).cast("double") for n in ("leaf_area", "biomass")}
+    )
+    tables = outputs.scale_tables(
+        outputs_table,
+        calendar,
+        {"Opened": ["leaf_area", "biomass"], "Pruned": []},
+        organ="state",
+        keys=["day", "node"],
+    )
+    return tables["Opened"]
+
+
+LONG = f"""{ORGANS}, {CALENDAR},
+long AS (
+  SELECT day, node, 'leaf_area' AS variable, CAST(leaf_area AS DOUBLE) AS value FROM dated
+  WHERE state = 'Opened'
+  UNION ALL
+  SELECT day, node, 'biomass', CAST(biomass AS DOUBLE) FROM dated WHERE state = 'Opened')"""
+
+
+@query(f"WITH {LONG} SELECT * FROM long")
+def scale_tables(spark, sf):
+    return opened_long(spark, sf)
+
+
+@query(
+    f"""
+WITH {LONG}
+SELECT day, node, value FROM long
+WHERE variable = 'biomass' AND node IN (SELECT p_partkey FROM part WHERE p_size > 40)"""
+)
+def scale_nodes(spark, sf):
+    chosen = (
+        roles.read(spark, sf, "part")
+        .where(F.col("p_size") > 40)
+        .select(F.col("p_partkey").alias("node"))
+    )
+    return outputs.nodes_of(opened_long(spark, sf), "biomass", chosen, keys=["day", "node"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agroseries.functions import constants as k
 from agroseries.operators import rollup, scenario
+from agroseries.operators.series import month_index
 from agroseries.plans import sites
 from workload import roles
 from workload.registry import doubles, num, query
@@ -323,3 +324,57 @@ def point_mean_diff(spark, sf):
     return rollup.point_mean_diff(
         roles.months(spark, sf), "months_after_planting", 50, 10, "x", "difference"
     )
+
+
+@query(f'WITH {ORGANS} SELECT "Site", timestep, count(*) FILTER (WHERE rank > 20) AS rank FROM organs GROUP BY 1, 2')
+def emitted_leaves(spark, sf):
+    return sites.emitted_leaves(roles.organs(spark, sf), rank_above=20)
+
+
+ORGAN_MONTHS = f"""{ORGANS},
+inflorescences AS (
+  SELECT *, CAST(dense_rank() OVER (ORDER BY date_trunc('month', date)) - 18 AS INTEGER)
+           AS months_after_planting,
+         CASE state WHEN 'Pruned' THEN 'Harvested' WHEN 'Opened' THEN 'Scenescent'
+              ELSE state END AS phase
+  FROM organs)"""
+
+
+def inflorescences(spark, sf):
+    phase = (
+        F.when(F.col("state") == k.PRUNED, k.HARVESTED)
+        .when(F.col("state") == k.OPENED, k.SENESCENT)
+        .otherwise(F.col("state"))
+    )
+    return month_index(roles.organs(spark, sf)).withColumn("state", phase)
+
+
+@query(
+    f"""
+WITH {ORGAN_MONTHS}
+SELECT "Site", months_after_planting, CAST(date_trunc('month', min(date)) AS DATE) AS date,
+       max(timestep) - min(timestep) + 1 AS nb_timesteps,
+       count(*) FILTER (WHERE phase = 'Harvested') AS n_bunches_harvested,
+       CAST(sum(reserve) AS DOUBLE) AS biomass_bunch_harvested,
+       CAST(sum(reserve) FILTER (WHERE reserve > 0) AS DOUBLE)
+         / nullif(count(*) FILTER (WHERE reserve > 0), 0) AS biomass_bunch_harvested_average
+FROM inflorescences GROUP BY 1, 2"""
+)
+def female_months(spark, sf):
+    female = inflorescences(spark, sf).withColumn("biomass_bunch_harvested", F.col("reserve"))
+    return doubles(sites.female_months(female))
+
+
+@query(
+    f"""
+WITH {ORGAN_MONTHS}
+SELECT "Site", months_after_planting, CAST(date_trunc('month', min(date)) AS DATE) AS date,
+       max(timestep) - min(timestep) + 1 AS nb_timesteps,
+       count(*) FILTER (WHERE phase = 'Harvested') AS n_males_harvested,
+       count(*) FILTER (WHERE phase = 'Scenescent') AS n_males_senescent,
+       coalesce(CAST(sum(biomass) FILTER (WHERE phase = 'Scenescent') AS DOUBLE)
+         / nullif(count(*) FILTER (WHERE phase = 'Scenescent'), 0), 0e0) AS biomass_avg
+FROM inflorescences GROUP BY 1, 2"""
+)
+def male_months(spark, sf):
+    return sites.male_months(inflorescences(spark, sf))

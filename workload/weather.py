@@ -266,6 +266,22 @@ def year_backfill(spark, sf):
     return reshape.extend_years(rows, COPIES, start="1992-07-01")
 
 
+@query(
+    f"""
+WITH extended AS ({_backfill_sql()})
+SELECT id, date, row_number() OVER (ORDER BY date, id) AS timestep,
+       CAST(dense_rank() OVER (ORDER BY date_trunc('month', date)) - 18 AS INTEGER)
+         AS months_after_planting
+FROM extended"""
+)
+def weather_extension(spark, sf):
+    rows = roles.series(spark, sf).select("id", "date")
+    generated = weather.generate_weather(
+        rows, COPIES, "1992-07-01", order=SERIES_ORDER, blocks=weather.day_blocks()
+    )
+    return generated.drop("yearmonth")
+
+
 @query(
     """
 WITH rows AS (
