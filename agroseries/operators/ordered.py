@@ -63,6 +63,7 @@ def scan(
     blocks: Blocks = None,
     upto: int = 0,
     keep_blocks: bool = False,
+    long: Column | None = None,
 ) -> DataFrame:
     """Add one column per carry: its scan from the start of the series to row ``upto`` (0 or -1).
 
@@ -78,7 +79,8 @@ def scan(
 
     if blocks:
         *coarse, finest = blocks
-        totals = work.groupBy(*cell).agg(*[c.total(F.col(v)).alias(v) for v, c in values.items()])
+        summarised = work if long is None else work.where(long)
+        totals = summarised.groupBy(*cell).agg(*[c.total(F.col(v)).alias(v) for v, c in values.items()])
         before = scan(
             totals,
             by,
@@ -113,26 +115,50 @@ def _total_of_totals(carry: Carry, finest: str) -> Callable[[Column], Column]:
     return carry.scan
 
 
-def fit_blocks(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], blocks: Blocks
-) -> tuple[DataFrame, Blocks]:
-    """The cheapest cut of the series that keeps every task under ``rows_per_task`` rows.
+class Cut(NamedTuple):
+    """Rows with the blocks to scan them by, and the condition of the series that are cut at all."""
 
-    One aggregation over the key columns measures the longest series and the largest block; a single
-    row of three numbers reaches the driver. Short series need no blocks. Longer ones get the given
-    blocks, and if one of those is too large (most of a site on a single day), Spark cuts by the
-    full order key.
+    df: DataFrame
+    blocks: Blocks
+    long: Column | None
+
+
+def fit_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], blocks: Blocks) -> Cut:
+    """The cheapest cut that keeps every task under ``rows_per_task`` rows of one series.
+
+    Series lengths are measured by one aggregation over the key columns. Short series stay whole.
+    Long ones get the given blocks, and if one of those is too large (most of a site on a single
+    day), Spark cuts them by the full order key. The long series have more than the limit of rows
+    each, so there are at most (rows / limit) of them: that bounds the broadcast list of their keys.
     """
     limit = rows_per_task(df)
-    cells = df.withColumns(dict(blocks or {})).groupBy(*by, *(blocks or {})).count()
-    lengths = cells.groupBy(*by).agg(F.sum("count").alias("length"), F.max("count").alias("cell"))
-    longest, largest, total = lengths.agg(F.max("length"), F.max("cell"), F.sum("length")).first()
-    if total is None or longest <= limit:
-        return df, None
-    if blocks and largest <= limit:
-        return df, blocks
+    lengths = df.groupBy(*by).agg(F.count("*").alias("_length"))
+    long = lengths.where(F.col("_length") > limit)
+    n_long, rows = long.agg(F.count("*"), F.sum("_length")).first()
+    if not n_long:
+        return Cut(df, None, None)
+
+    marked = _mark(df, by, long)
+    is_long = F.col("_long")
+    if blocks:
+        cells = marked.where(is_long).withColumns(dict(blocks)).groupBy(*by, *blocks).count()
+        if cells.agg(F.max("count")).first()[0] <= limit:
+            cut = {name: F.when(is_long, block) for name, block in blocks.items()}
+            return Cut(marked, cut, is_long)
+
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return even_blocks(df, by, order, max(shuffle, 2 * math.ceil(total / limit)))
+    pieces = even_blocks(marked.where(is_long), by, order, max(shuffle, 2 * math.ceil(rows / limit)))
+    whole = marked.where(~is_long).withColumn("_block", F.lit(None).cast("int"))
+    return Cut(whole.unionByName(pieces), {"_block": F.col("_block")}, is_long)
+
+
+def _mark(df: DataFrame, by: Sequence[str], long: DataFrame) -> DataFrame:
+    if not by:
+        return df.withColumn("_long", F.lit(True))
+    keys = checkpointed(long.select(*[F.col(c).alias(f"_key_{c}") for c in by], F.lit(True).alias("_long")))
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by]
+    joined = df.join(F.broadcast(keys), same, "left").drop(*[f"_key_{c}" for c in by])
+    return joined.withColumn("_long", F.coalesce("_long", F.lit(False)))
 
 
 def rows_per_task(df: DataFrame) -> int:
@@ -142,11 +168,11 @@ def rows_per_task(df: DataFrame) -> int:
 
 def even_blocks(
     df: DataFrame, by: Sequence[str], order: Sequence[str], partitions: int
-) -> tuple[DataFrame, Blocks]:
-    """Blocks of about equal size for any distribution: range partitions of (series, order).
+) -> DataFrame:
+    """Column ``_block``: blocks of about equal size for any distribution of the rows.
 
-    The block number is fixed by a checkpoint, as a recomputed range partitioning may cut elsewhere.
+    They are range partitions of (series, order). The number is fixed by a checkpoint, as a
+    recomputed range partitioning may cut elsewhere.
     """
     ranged = df.repartitionByRange(partitions, *by, *order)
-    cut = checkpointed(ranged.withColumn("_block", F.spark_partition_id()))
-    return cut, {"_block": F.col("_block")}
+    return checkpointed(ranged.withColumn("_block", F.spark_partition_id()))

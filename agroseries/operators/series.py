@@ -25,9 +25,11 @@ INCREMENT = "decimal(18,9)"
 
 def _scan(df, by, order, carries, blocks, bounded=False, upto=0):
     """Scan with fitted blocks; ``bounded`` series are short by construction and not measured."""
-    if not bounded:
-        df, blocks = fit_blocks(df, by, order, blocks)
-    return scan(df, by, order, carries, blocks, upto).drop("_block")
+    if bounded:
+        return scan(df, by, order, carries, upto=upto)
+    cut = fit_blocks(df, by, order, blocks)
+    scanned = scan(cut.df, by, order, carries, cut.blocks, upto, long=cut.long)
+    return scanned.drop("_block", "_long")
 
 
 def row_index(
@@ -179,22 +181,18 @@ def emission_counter(
     row-by-row state: two scans, one for the position and the accumulated amount, one for the
     minimum.
     """
-    df, blocks = fit_blocks(df, by, order, blocks)
     amount = c.as_column(increment).cast(INCREMENT)
-    first = scan(
-        df,
-        by,
-        order,
-        {"_step": carry_count(), "_amount": carry_sum(amount)},
-        blocks,
-        keep_blocks=True,
-    )
+    carries = {"_step": carry_count(), "_amount": carry_sum(amount)}
+    cut = fit_blocks(df, by, order, blocks)
+    first = scan(cut.df, by, order, carries, cut.blocks, keep_blocks=True, long=cut.long)
+
     behind = F.floor("_amount").cast("bigint") - F.col("_step")
-    kept = {name: F.col(name) for name in blocks or {}}
-    second = scan(first, by, ["_step"], {"_behind": carry_min(behind)}, kept)
+    same_blocks = {name: F.col(name) for name in cut.blocks or {}}
+    second = scan(
+        first, by, ["_step"], {"_behind": carry_min(behind)}, same_blocks, long=cut.long
+    )
     count = 1 + F.col("_step") + F.least(F.lit(0), F.col("_behind"))
-    extra = [name for name in kept if name not in df.columns or name == "_block"]
-    return second.withColumn(out, count).drop("_step", "_amount", "_behind", *extra)
+    return second.withColumn(out, count).select(*df.columns, out)
 
 
 def emission_sweep(
