@@ -47,6 +47,9 @@ RANK_PRUNING = 50
 SCENARIO_RANKS = (25, 50, 5)
 SCENARIO_DURATIONS_MONTHS = (6, 12)
 
+# Scales of the output tables.
+SCALES = ("Scene", "Plant", "Phytomer", "Leaf", "Internode", "Male", "Female", "Soil")
+
 # Labels as stored in the tables.
 UNDETERMINED = "undetermined"
 OPENED = "Opened"

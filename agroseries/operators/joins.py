@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agroseries.functions import columns as c
@@ -132,9 +132,10 @@ def relative_to_baseline(
 ) -> DataFrame:
     """Value over the value of the baseline scenario at the same ``on`` (month, site).
 
-    Rows without a baseline row get NULL.
+    The table holds one row per scenario and ``on``, so a window partition is only as long as the
+    list of scenarios, and the table is read once, which a join with itself would do twice. NULL
+    where the baseline has no row.
     """
-    reference = df.where(baseline).select(*on, F.col(value).cast("double").alias("_reference"))
-    joined = df.join(reference, list(on), "left")
-    relative = c.ratio(F.col(value).cast("double"), "_reference")
-    return joined.withColumn(out, relative).drop("_reference")
+    chosen = F.expr(baseline) if isinstance(baseline, str) else baseline
+    reference = F.max(F.when(chosen, F.col(value).cast("double"))).over(Window.partitionBy(*on))
+    return df.withColumn(out, c.ratio(F.col(value).cast("double"), reference))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agroseries.functions.aggregates import order_key
-from agroseries.sources.shared import checkpointed
+from agroseries.sources.shared import saved
 
 ROWS_PER_TASK = 4_000_000
 
@@ -123,17 +123,27 @@ class Cut(NamedTuple):
     long: Column | None
 
 
-def fit_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], blocks: Blocks) -> Cut:
+def fit_blocks(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    blocks: Blocks,
+    sizes: DataFrame | None = None,
+) -> Cut:
     """The cheapest cut that keeps every task under ``rows_per_task`` rows of one series.
 
     Series lengths are measured by one aggregation over the key columns. Short series stay whole.
     Long ones get the given blocks, and if one of those is too large (most of a site on a single
     day), Spark cuts them by the full order key. The long series have more than the limit of rows
     each, so there are at most (rows / limit) of them: that bounds the broadcast list of their keys.
+
+    ``sizes`` is measured instead of ``df``: a table that holds at least the rows of ``df`` and is
+    cheaper to read, such as the source that ``df`` was filtered from.
     """
     limit = rows_per_task(df)
-    lengths = df.groupBy(*by).agg(F.count("*").alias("_length"))
-    long = lengths.where(F.col("_length") > limit)
+    measured = df if sizes is None else sizes
+    lengths = measured.groupBy(*by).agg(F.count("*").alias("_length"))
+    long = saved(lengths.where(F.col("_length") > limit), "long")
     n_long, rows = long.agg(F.count("*"), F.sum("_length")).first()
     if not n_long:
         return Cut(df, None, None)
@@ -141,8 +151,8 @@ def fit_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], blocks: B
     marked = _mark(df, by, long)
     is_long = F.col("_long")
     if blocks:
-        cells = marked.where(is_long).withColumns(dict(blocks)).groupBy(*by, *blocks).count()
-        if cells.agg(F.max("count")).first()[0] <= limit:
+        long_rows = _mark(measured, by, long).where(is_long).withColumns(dict(blocks))
+        if long_rows.groupBy(*by, *blocks).count().agg(F.max("count")).first()[0] <= limit:
             cut = {name: F.when(is_long, block) for name, block in blocks.items()}
             return Cut(marked, cut, is_long)
 
@@ -153,9 +163,10 @@ def fit_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], blocks: B
 
 
 def _mark(df: DataFrame, by: Sequence[str], long: DataFrame) -> DataFrame:
+    """Add ``_long``. Keys are compared with NULL as a value, as grouping does."""
     if not by:
         return df.withColumn("_long", F.lit(True))
-    keys = checkpointed(long.select(*[F.col(c).alias(f"_key_{c}") for c in by], F.lit(True).alias("_long")))
+    keys = long.select(*[F.col(c).alias(f"_key_{c}") for c in by], F.lit(True).alias("_long"))
     same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by]
     joined = df.join(F.broadcast(keys), same, "left").drop(*[f"_key_{c}" for c in by])
     return joined.withColumn("_long", F.coalesce("_long", F.lit(False)))
@@ -171,8 +182,8 @@ def even_blocks(
 ) -> DataFrame:
     """Column ``_block``: blocks of about equal size for any distribution of the rows.
 
-    They are range partitions of (series, order). The number is fixed by a checkpoint, as a
-    recomputed range partitioning may cut elsewhere.
+    They are range partitions of (series, order). The rows are written with their block number, as
+    a recomputed range partitioning may cut elsewhere.
     """
     ranged = df.repartitionByRange(partitions, *by, *order)
-    return checkpointed(ranged.withColumn("_block", F.spark_partition_id()))
+    return saved(ranged.withColumn("_block", F.spark_partition_id()), "blocks")

@@ -23,11 +23,11 @@ from agroseries.operators.ordered import (
 INCREMENT = "decimal(18,9)"
 
 
-def _scan(df, by, order, carries, blocks, bounded=False, upto=0):
+def _scan(df, by, order, carries, blocks, bounded=False, upto=0, sizes=None):
     """Scan with fitted blocks; ``bounded`` series are short by construction and not measured."""
     if bounded:
         return scan(df, by, order, carries, upto=upto)
-    cut = fit_blocks(df, by, order, blocks)
+    cut = fit_blocks(df, by, order, blocks, sizes)
     scanned = scan(cut.df, by, order, carries, cut.blocks, upto, long=cut.long)
     return scanned.drop("_block", "_long")
 
@@ -38,9 +38,13 @@ def row_index(
     order: Sequence[str],
     blocks: Blocks = None,
     out: str = "timestep",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based position of each row in its series; ``by=[]`` numbers the whole table."""
-    return _scan(df, by, order, {out: carry_count()}, blocks)
+    """1-based position of each row in its series; ``by=[]`` numbers the whole table.
+
+    ``sizes`` is a cheaper table with at least the same rows, to measure series lengths on.
+    """
+    return _scan(df, by, order, {out: carry_count()}, blocks, sizes=sizes)
 
 
 def running_sum(
@@ -51,16 +55,17 @@ def running_sum(
     blocks: Blocks = None,
     index: str | None = None,
     bounded: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Cumulative sums; ``sums`` maps output names to inputs.
 
     ``index`` also numbers the rows, in the same scan. ``bounded`` states that a series cannot be
-    long (one row per month, say), which saves measuring it.
+    long (one row per month, say), which saves measuring it. ``sizes`` as in ``row_index``.
     """
     carries = {out: carry_sum(c.as_column(source)) for out, source in sums.items()}
     if index:
         carries[index] = carry_count()
-    return _scan(df, by, order, carries, blocks, bounded)
+    return _scan(df, by, order, carries, blocks, bounded, sizes=sizes)
 
 
 def cumulative_demand(

@@ -56,10 +56,11 @@ def index_weather(
     date: str = "date",
     blocks: Blocks = None,
     offset: int = k.MONTH_OFFSET,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Step number within each site and month number over all of them."""
     monthly = month_index(df, date, offset)
-    return row_index(monthly, by, order, blocks)
+    return row_index(monthly, by, order, blocks, sizes=df if sizes is None else sizes)
 
 
 def prepare_weather(
@@ -73,7 +74,7 @@ def prepare_weather(
     """Complete rows of the period common to all sites, with step and month numbers."""
     complete = drop_missing(df)
     aligned = common_period(complete, by, date)
-    return index_weather(aligned, by, order, date, blocks, offset)
+    return index_weather(aligned, by, order, date, blocks, offset, sizes=df)
 
 
 def generate_weather(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from agroseries.functions.constants import SCALES
+
 
 def scan_csv(
     spark: SparkSession, path: str | Sequence[str], schema: StructType | str, sep: str = ","
@@ -31,11 +33,12 @@ def write_by(
 ) -> None:
     """Parquet with one folder per key value, so that a filter on the key reads that folder only.
 
-    Rows are not shuffled by key first: a site with a third of the rows would be written by a single
-    task. Files are bounded by ``rows_per_file`` instead.
+    The rows are rebalanced by key: few files per folder, and a site with a third of the rows is
+    still split over many tasks, which a plain repartition by key would give to one.
     """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *keys)
+        .write.mode("overwrite")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*keys)
         .parquet(path)
@@ -46,8 +49,9 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scan_scales(spark: SparkSession, path: str, organ: str = "organ") -> dict[str, DataFrame]:
+def scan_scales(
+    spark: SparkSession, path: str, scales: Sequence[str] = SCALES, organ: str = "organ"
+) -> dict[str, DataFrame]:
     """Handles on the scales of an output table stored by organ; each reads its own folder."""
     table = spark.read.parquet(path)
-    names = [row[0] for row in table.select(organ).distinct().collect()]
-    return {name: table.where(F.col(organ) == name).drop(organ) for name in sorted(names)}
+    return {scale: table.where(F.col(organ) == scale).drop(organ) for scale in scales}

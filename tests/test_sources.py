@@ -45,8 +45,12 @@ def test_tables_by_key(spark, raw, tmp_path):
     organs = str(tmp_path / "organs")
     files.write_by(spark.range(6).withColumn("organ", F.when(F.col("id") < 2, "Leaf").otherwise("Male")),
                    organs, ["organ"])
-    scales = files.scan_scales(spark, organs)
-    assert {name: df.count() for name, df in scales.items()} == {"Leaf": 2, "Male": 4}
+    scales = files.scan_scales(spark, organs, ["Leaf", "Male", "Soil"])
+    assert {name: df.count() for name, df in scales.items()} == {
+        "Leaf": 2,
+        "Male": 4,
+        "Soil": 0,
+    }
     assert "PartitionFilters: [isnotnull(organ" in scales["Leaf"]._jdf.queryExecution().toString()
 
 
@@ -94,5 +98,6 @@ def test_contract_sees_types_and_keys(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    cut = shared.checkpointed(spark.range(5))
-    assert cut.count() == 5 and "Scan ExistingRDD" in cut._jdf.queryExecution().toString()
+    kept = shared.saved(spark.range(5), "five")
+    assert kept.count() == 5
+    assert all(shared.shared_dir(spark) in file for file in kept.inputFiles())

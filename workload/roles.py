@@ -86,6 +86,7 @@ def plants(spark: SparkSession, sf: str) -> DataFrame:
         },
         day_blocks(),
         index="timestep",
+        sizes=series(spark, sf),
     ).drop("_emitted")
 
 

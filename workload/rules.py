@@ -138,19 +138,20 @@ def inflorescence_state(spark, sf):
     return states.drop("sex", "rank", "plant_age")
 
 
+# node numbers: leaf 0, inflorescence 1, internode 2 and phytomer 3 modulo 4
 TREE = """
 organs AS (
-  SELECT DISTINCT CASE WHEN l_linestatus = 'O' THEN 'L-' ELSE 'I-' END || l_orderkey || '-'
-           || l_linenumber AS node,
-         'O-' || l_orderkey AS parent,
+  SELECT DISTINCT (l_orderkey * 16 + l_linenumber) * 4
+           + CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS node,
+         l_orderkey * 4 + 2 AS parent,
          CASE WHEN l_linestatus = 'O' THEN 'Leaf' WHEN l_linenumber % 2 = 1 THEN 'Female'
               ELSE 'Male' END AS symbol
   FROM lineitem),
 edges AS (
   SELECT * FROM organs UNION ALL
-  SELECT 'O-' || o_orderkey, 'C-' || o_custkey, 'Internode' FROM orders),
+  SELECT o_orderkey * 4 + 2, o_custkey * 4 + 3, 'Internode' FROM orders),
 pruned AS (
-  SELECT DISTINCT 'L-' || l_orderkey || '-' || l_linenumber AS node
+  SELECT DISTINCT (l_orderkey * 16 + l_linenumber) * 4 AS node
   FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'R')"""
 
 
@@ -168,20 +169,19 @@ def propagate_harvest(spark, sf):
     lineitem = roles.read(spark, sf, "lineitem")
     orders = roles.read(spark, sf, "orders")
     is_leaf = F.col("l_linestatus") == "O"
-    prefix = F.when(is_leaf, "L-").otherwise("I-")
-    node = F.concat(prefix, F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber"))
+    place = (F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 4
     symbol = (
         F.when(is_leaf, "Leaf").when(F.col("l_linenumber") % 2 == 1, "Female").otherwise("Male")
     )
     organs = lineitem.select(
-        node.alias("node"),
-        F.concat(F.lit("O-"), F.col("l_orderkey")).alias("parent"),
+        (place + F.when(is_leaf, 0).otherwise(1)).alias("node"),
+        (F.col("l_orderkey") * 4 + 2).alias("parent"),
         symbol.alias("symbol"),
     ).distinct()
     internodes = orders.select(
-        F.concat(F.lit("O-"), F.col("o_orderkey")).alias("node"),
-        F.concat(F.lit("C-"), F.col("o_custkey")).alias("parent"),
+        (F.col("o_orderkey") * 4 + 2).alias("node"),
+        (F.col("o_custkey") * 4 + 3).alias("parent"),
         F.lit("Internode").alias("symbol"),
     )
-    pruned = lineitem.where(is_leaf & (F.col("l_returnflag") == "R")).select(node.alias("node"))
+    pruned = lineitem.where(is_leaf & (F.col("l_returnflag") == "R")).select(place.alias("node"))
     return rules.propagate_harvest(pruned, organs.unionByName(internodes))
