@@ -137,5 +137,5 @@ def relative_to_baseline(
     where the baseline has no row.
     """
     chosen = F.expr(baseline) if isinstance(baseline, str) else baseline
-    reference = F.max(F.when(chosen, F.col(value).cast("double"))).over(Window.partitionBy(*on))
-    return df.withColumn(out, c.ratio(F.col(value).cast("double"), reference))
+    base = F.max(F.when(chosen, F.col(value).cast("double"))).over(Window.partitionBy(*on))
+    return df.withColumn(out, c.ratio(F.col(value).cast("double"), base))

@@ -351,3 +351,45 @@ def param_lookup(spark, sf):
         {"latitude": "plot.latitude", "altitude": "plot.altitude"},
         defaults={"plot.altitude": 15.5},
     )
+
+
+@query(
+    """
+SELECT l_orderkey, l_linenumber, l_partkey,
+       CASE WHEN l_discount = 0 THEN 0 ELSE l_discount END AS filled
+FROM lineitem"""
+)
+def fill_nan(spark, sf):
+    nan = F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("l_discount"))
+    return read(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", c.fill_nan(nan).alias("filled")
+    )
+
+
+@query(
+    f"""
+WITH {SERIES}
+SELECT id, CAST(date + INTERVAL 3 YEAR AS DATE) AS later,
+       CAST(date - INTERVAL 18 MONTH AS DATE) AS earlier, CAST(date + INTERVAL 1 DAY AS DATE) AS next_day,
+       make_date(year(date), 1, 1) AS year_date, CAST(year(date) - 1992 AS INTEGER) AS gap
+FROM series"""
+)
+def date_shifts(spark, sf):
+    return roles.series(spark, sf).select(
+        "id",
+        c.shift_years("date", 3).alias("later"),
+        c.shift_months("date", -18).alias("earlier"),
+        F.date_add("date", 1).alias("next_day"),
+        c.year_start(F.year("date")).alias("year_date"),
+        c.year_gap("date", F.lit("1992-07-01").cast("date")).alias("gap"),
+    )
+
+
+@query(
+    f"""
+WITH {SERIES} SELECT date, id, CAST(x AS DOUBLE) AS x, "Site" FROM series WHERE "Site" <> 'P'"""
+)
+def write_by_site(spark, sf):
+    path = shared.scratch_path(spark, "by-site")
+    files.write_by(roles.series(spark, sf).select("Site", "date", "id", "x"), path)
+    return doubles(files.scan_parquet(spark, path).where(F.col("Site") != "P"))
