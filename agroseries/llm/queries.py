@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroseries.llm import chat, sharding, simhash
+from agroseries.llm import bpe, chat, packing, sharding, simhash
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 SHARDS = 40
@@ -78,6 +79,33 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one token stream, cut into windows of 4096."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces_of(docs)
+
+
+def pieces_of(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and the bytes they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(docs, "doc_id", "text", ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        F.size("tokens").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(spark, F.col("tokens"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over 3-word shingles, at most 3 differing bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,7 +116,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op7_bpe": op7_bpe,
 }
 
 SQL = {"op1_chat": OP1_SQL}
