@@ -79,7 +79,7 @@ def best_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     path = ranked.select(
         "tree", F.col("node").alias("leaf"), "rank", "node", (F.col("depth") - 1).alias("place")
     )
-    for table in jumps:
+    for table in reversed(jumps):  # the longest jump first, so that few rows pass many rounds
         jump = table.where(F.col("up").isNotNull()).select(
             F.col("tree").alias("__tree"), F.col("node").alias("__node"), "up", "depth"
         )
