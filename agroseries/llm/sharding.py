@@ -64,7 +64,7 @@ def shuffle_into_shards(
     df: DataFrame,
     shards: int,
     seed: int = 42,
-    rows_per_cell: int = 1 << 16,
+    rows_per_cell: int = 1 << 14,
     shard: str = "shard",
     slot: str = "slot",
 ) -> DataFrame:
