@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroseries.llm import bpe, chat, packing, sharding, simhash
+from agroseries.llm import bpe, chat, packing, quality, sharding, simhash
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 SHARDS = 40
@@ -93,6 +93,76 @@ def pieces_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and whether it is near the profile of some language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality.judge(docs, "text", "lang", keep=["doc_id"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+counts AS (
+  SELECT doc_id, lang, w, len(w) AS n_words,
+    length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS c2,
+    length(t) - length(regexp_replace(t, '\p{Ll}+', '', 'g')) AS c1,
+    length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')) AS c3,
+    length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) AS c4,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS c5,
+    length(t) - length(regexp_replace(t, '\p{L}+', '', 'g')) AS letters, length(t) AS chars,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+docs AS (
+  SELECT *, letters - c1 - c3 AS c6, chars - letters - c2 - c4 - c5 AS c7, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM counts),
+wins AS (
+  SELECT doc_id, i, w[i:i+4] AS five FROM (SELECT doc_id, w, unnest(range(1, n_words - 3)) AS i FROM docs WHERE n_words > 5)),
+twice AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+gaps AS (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS n FROM twice),
+covered AS (SELECT doc_id, sum(n) AS n_repeat_words FROM gaps GROUP BY doc_id),
+class_ref AS (
+  SELECT lang, sum(n_words) AS total, list_value(sum(c1), sum(c2), sum(c3), sum(c4), sum(c5), sum(c6), sum(c7)) AS q, sum(chars) AS chars
+  FROM docs WHERE lang IS NOT NULL GROUP BY lang HAVING sum(chars) > 0 AND sum(n_words) > 0),
+class_terms AS (
+  SELECT doc_id, c.lang, p, q FROM (
+    SELECT doc_id, unnest(list_value(c1, c2, c3, c4, c5, c6, c7)) / chars AS p, unnest(range(1, 8)) AS k FROM docs WHERE chars >= 200) x
+  JOIN (SELECT lang, unnest(q) / chars AS q, unnest(range(1, 8)) AS k FROM class_ref) c USING (k)),
+class_near AS (
+  SELECT doc_id, min(js) AS class_distance FROM (
+    SELECT doc_id, lang, sqrt(least(greatest(sum(
+      CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END), 0), 1)) AS js
+    FROM class_terms GROUP BY doc_id, lang) GROUP BY doc_id),
+words AS (SELECT doc_id, lang, unnest(w) AS word FROM docs),
+common AS (
+  SELECT lang, word, n / total AS q FROM (
+    SELECT lang, word, count(*) AS n FROM words WHERE lang IS NOT NULL GROUP BY lang, word
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 40) JOIN class_ref USING (lang)),
+doc_words AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY doc_id, word),
+hits AS (
+  SELECT x.doc_id, c.lang, x.n / docs.n_words AS p, c.q FROM doc_words x JOIN common c USING (word) JOIN docs ON x.doc_id = docs.doc_id),
+sums AS (
+  SELECT doc_id, lang, sum(p) AS p, sum(0.5 * p * log2(2 * p / (p + q)) + 0.5 * q * log2(2 * q / (p + q)) - 0.5 * q) AS s
+  FROM hits GROUP BY doc_id, lang),
+pairs AS (
+  SELECT docs.doc_id, l.lang, 1 - coalesce(sums.p, 0) AS p, 1 - l.q AS q, coalesce(s, 0) + 0.5 * l.q AS s
+  FROM docs JOIN (SELECT lang, sum(q) AS q FROM common GROUP BY lang) l ON docs.n_words >= 100
+  LEFT JOIN sums ON sums.doc_id = docs.doc_id AND sums.lang = l.lang),
+word_near AS (
+  SELECT doc_id, min(sqrt(least(greatest(s + CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END, 0), 1))) AS word_distance FROM pairs GROUP BY doc_id),
+judged AS (
+  SELECT doc_id, n_words, chars - c2 AS word_chars, c5 AS n_symbols, n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, class_distance, word_distance
+  FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN class_near USING (doc_id) LEFT JOIN word_near USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(class_distance > 0.32 OR word_distance > 0.45, false) AS kept
+FROM judged
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and the bytes they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -118,7 +188,8 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
 }
 
-SQL = {"op1_chat": OP1_SQL}
+SQL = {"op1_chat": OP1_SQL, "op6_quality": OP6_SQL}
