@@ -21,15 +21,17 @@ from pyspark.sql import types as T
 
 from agroseries.sources.shared import saved
 
-CACHED_WORDS = 400_000
+KNOWN_WORDS, NEW_WORDS = 400_000, 200_000
+SLICE_BYTES = 1 << 20
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids of words between ASCII white space, which this vocabulary never joins or sees.
 
-    Each word is encoded once while it stays in the cache, which is emptied when it is full. The
-    cache belongs to the Python worker and so outlives a task.
+    A word that comes back is kept as known, a word seen once only for a while, so the many rare
+    words do not push out the frequent ones. Both stores are emptied when full. They belong to the
+    Python worker and so outlive a task.
     """
 
     def __init__(self, vocabulary: str):
@@ -37,19 +39,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+
+    def look_up(self, words: set[bytes]) -> dict[bytes, bytes]:
+        found, unseen = {}, []
+        for word in words:
+            ids = self.known.get(word)
+            if ids is None:
+                ids = self.new.pop(word, None)
+                if ids is None:
+                    unseen.append(word)
+                    continue
+                self.known[word] = ids
+            found[word] = ids
+        texts = [w.decode("utf-8", "replace") for w in unseen]
+        for word, made in zip(unseen, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            found[word] = self.new[word] = np.array(made.ids, dtype="<u4").tobytes()
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        if len(self.new) > NEW_WORDS:
+            self.new.clear()
+        return found
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        texts = [w.decode("utf-8", "replace") for w in new]
-        for word, made in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(made.ids, dtype="<u4").tobytes()
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        find = self.look_up(set().union(*words)).__getitem__
+        return [b"".join(map(find, doc)) for doc in words]
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        self.learn(set().union(*texts))
-        find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in texts]
+
+def _slices(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Texts in runs of about ``SLICE_BYTES``; a null is empty."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py() or b"")
+        size += len(some[-1])
+        if size >= SLICE_BYTES:
+            yield some
+            some, size = [], 0
+    yield some
 
 
 def _encoder(vocabulary: str) -> WordEncoder:
@@ -78,8 +105,7 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, first = _encoder(source.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            words = [(t or b"").split() for t in batch.column("text").to_pylist()]
-            ids = [b + end for b in encoder.encode(words)]
+            ids = [b + end for some in _slices(batch.column("text")) for b in encoder.encode(some)]
             tokens = np.array([len(b) // 4 for b in ids], dtype=np.int64)
             begins = first + np.cumsum(tokens) - tokens
             first += int(tokens.sum())
