@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,10 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agroseries.sources.shared import saved
+from agroseries.sources.shared import scratch_path
 
-BLOCK_WORDS = 2_000_000
-BLOCK_BYTES = 64 << 20
+BLOCK_WORDS, BLOCK_DISTINCT = 4_000_000, 400_000
 CACHED_WORDS = 400_000
 
 
@@ -103,22 +104,16 @@ def split_blocks(pattern: str, buckets: int, schema: T.StructType):
     of its distinct words, which are numbered bucket by bucket.
     """
 
-    def flush(block: int, kind: pa.DataType, ids: list, words: list[list[str]]) -> pa.RecordBatch:
-        flat = pa.array([w for doc in words for w in doc], pa.string())
-        coded = flat.dictionary_encode()
-        distinct = [w.encode() for w in coded.dictionary.to_pylist()]
-        bucket = np.array([zlib.crc32(w) % buckets for w in distinct], dtype=np.int64)
-        order = np.argsort(bucket, kind="stable")
+    def flush(block: int, kind: pa.DataType, numbers: dict[str, int], docs: list[tuple]) -> pa.RecordBatch:
+        words = [w.encode() for w in numbers]
+        bucket = [zlib.crc32(w) % buckets for w in words]
+        order = sorted(range(len(words)), key=lambda k: (bucket[k], words[k]))
         number = np.empty(len(order), dtype="<u4")
         number[order] = np.arange(len(order))
-        sequence = number[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else number
-        ends = np.cumsum([len(doc) for doc in words])
-        rows = [(-1, i, zstandard.compress(s.tobytes(), 3)) for i, s in zip(ids, np.split(sequence, ends[:-1]), strict=True)]
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            own = [distinct[k] for k in order[cuts[b] : cuts[b + 1]]]
-            if own:
-                rows.append((b, None, _pack([len(w) for w in own], b"".join(own))))
+        rows = [(-1, i, zstandard.compress(number[s].tobytes(), 3)) for i, s in docs]
+        for b, group in itertools.groupby(order, key=bucket.__getitem__):
+            own = [words[k] for k in group]
+            rows.append((b, None, _pack([len(w) for w in own], b"".join(own))))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([block] * len(rows), pa.int64()),
@@ -131,19 +126,18 @@ def split_blocks(pattern: str, buckets: int, schema: T.StructType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)
-        block, ids, words, held, size = TaskContext.get().partitionId() << 32, [], [], 0, 0
+        block, numbers, docs, held = TaskContext.get().partitionId() << 32, {}, [], 0
         for batch in batches:
             kind = batch.column("id").type
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                doc = cut.findall((text or b"").decode("utf-8", "replace"))
-                ids.append(i)
-                words.append(doc)
-                held, size = held + len(doc), size + len(text or b"")
-                if held >= BLOCK_WORDS or size >= BLOCK_BYTES:
-                    yield flush(block, kind, ids, words)
-                    block, ids, words, held, size = block + 1, [], [], 0, 0
-        if ids:
-            yield flush(block, kind, ids, words)
+            for i, text in zip(batch.column("id"), batch.column("text"), strict=True):
+                words = cut.findall((text.as_py() or b"").decode("utf-8", "replace"))
+                docs.append((i.as_py(), np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int32)))
+                held += len(words) + 1
+                if held >= BLOCK_WORDS or len(numbers) >= BLOCK_DISTINCT:
+                    yield flush(block, kind, numbers, docs)
+                    block, numbers, docs, held = block + 1, {}, [], 0
+        if docs:
+            yield flush(block, kind, numbers, docs)
 
     return run
 
@@ -190,6 +184,15 @@ def join_blocks(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"id": docs["id"], "tokens": tokens})
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder, laid out by ``key`` as a shuffle by ``key`` would be."""
+    spark = df.sparkSession
+    name = f"words_{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(count, key).option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def encode(
     df: DataFrame, id_col: str, text_col: str, rank_file: str, pattern: str, buckets: int = 64
 ) -> DataFrame:
@@ -197,12 +200,13 @@ def encode(
 
     Null and empty texts have no tokens. Equal rows and equal or null ids stay rows of their own;
     other columns are ignored; an empty table gives none. The rank table is broadcast: a vocabulary
-    of fixed size. A task holds one block, of ``BLOCK_WORDS`` words or ``BLOCK_BYTES``, or one
-    document if that is longer.
+    of fixed size. A block has up to ``BLOCK_WORDS`` words or ``BLOCK_DISTINCT`` distinct ones, or is
+    one document if that has more. The numbered documents are written bucketed by block, so that only
+    words and their ids are ever shuffled.
     """
     schema = block_schema(df.schema[id_col].dataType)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    staged = saved(rows.mapInArrow(split_blocks(pattern, buckets, schema), schema), "words")
+    staged = bucketed(rows.mapInArrow(split_blocks(pattern, buckets, schema), schema), "block")
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
     words = staged.where("bucket >= 0").repartition("bucket").mapInArrow(encode_words(ranks, schema), schema)
     out = T.StructType([T.StructField("id", schema["id"].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
@@ -220,6 +224,7 @@ def decode(spark: SparkSession, tokens: Column, rank_file: str) -> Column:
     @F.arrow_udf("binary")
     def look_up(arrays: pa.Array) -> pa.Array:
         find = table.value.__getitem__
-        return pa.array([None if a is None else b"".join(map(find, a)) for a in arrays.to_pylist()], pa.binary())
+        rows = (a.values for a in arrays)
+        return pa.array([None if a is None else b"".join(map(find, a.to_numpy().tolist())) for a in rows], pa.binary())
 
     return look_up(tokens)
