@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroseries.llm import bpe, chat, packing, quality, sharding, simhash
+from agroseries.llm import bpe, chat, knn, packing, quality, sharding, simhash
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 SHARDS = 40
@@ -183,6 +183,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col(simhash.FP)).alias("fingerprint"), "component_id")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = knn.top_k(rows, "vec_id", knn.scaled(F.col("embedding")), F.col("vec_id") % 50 == 0)
+    return found.withColumn("score", F.col("score").cast("bigint"))
+
+
+OP8_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5
+"""
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_sharding": op2_sharding,
@@ -190,6 +209,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_topk": op8_topk,
 }
 
-SQL = {"op1_chat": OP1_SQL, "op6_quality": OP6_SQL}
+SQL = {"op1_chat": OP1_SQL, "op6_quality": OP6_SQL, "op8_topk": OP8_SQL}
