@@ -31,31 +31,34 @@ def _same(left: DataFrame, right: DataFrame, step: str) -> Column:
     return left["tree"].eqNullSafe(right["__tree"]) & (left[step] == right["__node"])
 
 
-def climb(nodes: DataFrame) -> list[DataFrame]:
-    """Jump tables (tree, node, up, depth, total): table k jumps 2^k messages towards the root.
+def climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Jump tables, and (tree, node, depth, total) of every message up to its root.
 
-    ``depth`` and ``total`` count the messages and sum the scores from the node to just below ``up``,
-    in the last table to the root.
+    Table k (tree, node, up, depth) jumps up to 2^k messages towards the root. ``depth`` counts the
+    messages and ``total`` sums the scores from the node to just below ``up``, at last to the root.
+    Only messages that have not reached their root go through another round.
     """
     parents = nodes.select(F.col("tree").alias("__tree"), F.col("node").alias("__node"))
     first = nodes.join(parents, _same(nodes, parents, "parent"), "left").select(
         "tree", "node", F.col("__node").alias("up"), F.lit(1).cast("bigint").alias("depth"),
         F.col("score").alias("total"),
     )
-    tables = [saved(first, "climb")]
-    while not tables[-1].where(F.col("up").isNotNull()).isEmpty():
-        if len(tables) > ROUNDS:
+    level, jumps, whole = saved(first, "climb"), [], None
+    while True:
+        done, open_ = level.where(F.col("up").isNull()), level.where(F.col("up").isNotNull())
+        whole = done if whole is None else whole.unionByName(done)
+        if open_.isEmpty():
+            return jumps, whole.select("tree", "node", "depth", "total")
+        if len(jumps) > ROUNDS:
             raise ValueError("a message is its own ancestor")
-        low = tables[-1]
-        high = low.toDF("__tree", "__node", "__up", "__depth", "__total")
-        joined = low.join(high, _same(low, high, "up"), "left")
-        doubled = joined.select(
+        jumps.append(open_)
+        above = whole.unionByName(open_).toDF("__tree", "__node", "__up", "__depth", "__total")
+        doubled = open_.join(above, _same(open_, above, "up")).select(
             "tree", "node", F.col("__up").alias("up"),
-            (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total"),
+            (F.col("depth") + F.col("__depth")).alias("depth"),
+            (F.col("total") + F.col("__total")).alias("total"),
         )
-        tables.append(saved(doubled, "climb"))
-    return tables
+        level = saved(doubled, "climb")
 
 
 def best_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
@@ -69,7 +72,7 @@ def best_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")),
         "nodes",
     )
-    *jumps, whole = climb(nodes)
+    jumps, whole = climb(nodes)
     replies = nodes.select(F.col("tree").alias("__tree"), F.col("parent").alias("__node"))
     leaves = whole.join(replies, _same(whole, replies, "node"), "left_anti")
     order = Window.partitionBy("tree").orderBy(
@@ -80,7 +83,7 @@ def best_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         "tree", F.col("node").alias("leaf"), "rank", "node", (F.col("depth") - 1).alias("place")
     )
     for table in reversed(jumps):  # the longest jump first, so that few rows pass many rounds
-        jump = table.where(F.col("up").isNotNull()).select(
+        jump = table.select(
             F.col("tree").alias("__tree"), F.col("node").alias("__node"), "up", "depth"
         )
         stay = F.struct("node", "place")
