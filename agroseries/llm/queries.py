@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroseries.llm import bpe, chat, knn, packing, quality, sharding, simhash
+from agroseries.llm import bpe, chat, knn, language, packing, pii, quality, sharding, simhash
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 SHARDS = 40
@@ -176,6 +176,20 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the documents is never learnt from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return predicted(docs).select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")
+
+
+def held_out(docs: DataFrame) -> Column:
+    return crc32(docs["doc_id"].cast("string")) % 3 == 1
+
+
+def predicted(docs: DataFrame) -> DataFrame:
+    return language.identify(docs, "doc_id", "text", "lang", ~held_out(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over 3-word shingles, at most 3 differing bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -202,14 +216,29 @@ FROM scores QUALIFY rank <= 5
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: pattern matches, and what their contexts lead to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, "text")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{name}") for kind, name in enumerate(pii.KINDS)],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_language": op4_language,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_topk": op8_topk,
+    "op9_pii": op9_pii,
 }
 
 SQL = {"op1_chat": OP1_SQL, "op6_quality": OP6_SQL, "op8_topk": OP8_SQL}
