@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroseries.llm import bpe, chat, knn, language, packing, pii, quality, sharding, simhash
+from agroseries.llm import bpe, chat, knn, language, packing, pages, pii, quality, sharding, simhash
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 SHARDS = 40
@@ -229,6 +229,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = pages.main_text(rows, "url", "html")
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_sharding": op2_sharding,
@@ -239,6 +246,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_topk": op8_topk,
     "op9_pii": op9_pii,
+    "op10_pages": op10_pages,
 }
 
 SQL = {"op1_chat": OP1_SQL, "op6_quality": OP6_SQL, "op8_topk": OP8_SQL}
