@@ -9,6 +9,7 @@ global offset alone, so the cut needs no shuffle of ids.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -38,6 +39,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.plain = Tokenizer.from_str(json.dumps({**json.loads(vocabulary), "normalizer": None}))
         self.known: dict[bytes, bytes] = {}
         self.new: dict[bytes, bytes] = {}
 
@@ -52,9 +54,13 @@ class WordEncoder:
                     continue
                 self.known[word] = ids
             found[word] = ids
-        texts = [w.decode("utf-8", "replace") for w in unseen]
-        for word, made in zip(unseen, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            found[word] = self.new[word] = np.array(made.ids, dtype="<u4").tobytes()
+        # the vocabulary's normalizer leaves lower-case ASCII as it is
+        simple = [w for w in unseen if w.isascii() and w == w.lower() and b"<|" not in w]
+        other = set(unseen).difference(simple)
+        for tokenizer, some in ((self.plain, simple), (self.tokenizer, list(other))):
+            texts = [w.decode("utf-8", "replace") for w in some]
+            for word, made in zip(some, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                found[word] = self.new[word] = np.array(made.ids, dtype="<u4").tobytes()
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         if len(self.new) > NEW_WORDS:
@@ -62,7 +68,8 @@ class WordEncoder:
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        # ASCII case is folded here, as the vocabulary does, unless a special token could be meant
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         find = self.look_up(set().union(*words)).__getitem__
         return [b"".join(map(find, doc)) for doc in words]
 
