@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from agroseries.sources.shared import scratch_path
 
-BLOCK_WORDS, BLOCK_DISTINCT = 4_000_000, 400_000
-CACHED_WORDS = 400_000
+BLOCK_WORDS, BLOCK_DISTINCT = 3_000_000, 250_000
+CACHED_WORDS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,6 +136,7 @@ def split_blocks(pattern: str, buckets: int, schema: T.StructType):
                 if held >= BLOCK_WORDS or len(numbers) >= BLOCK_DISTINCT:
                     yield flush(block, kind, numbers, docs)
                     block, numbers, docs, held = block + 1, {}, [], 0
+                    pa.default_memory_pool().release_unused()
         if docs:
             yield flush(block, kind, numbers, docs)
 
@@ -155,10 +156,9 @@ def encode_words(ranks: Broadcast, schema: T.StructType):
                 ids = []
                 for word in _pieces(*_unpack(blob)):
                     if word not in known:
-                        known[word] = merge_word(word, table)
+                        known[word] = np.array(merge_word(word, table), dtype="<u4").tobytes()
                     ids.append(known[word])
-                flat = np.array([x for one in ids for x in one], dtype="<u4")
-                made.append(_pack([len(one) for one in ids], flat.tobytes()))
+                made.append(_pack([len(one) // 4 for one in ids], b"".join(ids)))
             columns = [batch.column(n) for n in ("block", "bucket", "id")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.binary())], names=schema.names)
 
@@ -180,7 +180,7 @@ def join_blocks(docs: pa.Table, words: pa.Table) -> pa.Table:
         made.append(ids[np.repeat(begins[sequence], n) + within])
         ends.append(ends[-1] + total)
     flat = np.concatenate([np.zeros(0, np.int32), *made])
-    tokens = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int32()))
+    tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
     return pa.table({"id": docs["id"], "tokens": tokens})
 
 
