@@ -39,10 +39,6 @@ def sum_where(c: Column | str, condition: Column) -> Column:
     return F.sum(F.when(condition, as_column(c)).otherwise(0))
 
 
-def count_where(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def first_by(c: Column | str, order: Order) -> Column:
     return F.min_by(as_column(c), order_key(order))
 

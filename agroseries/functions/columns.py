@@ -56,8 +56,9 @@ def ratio(numerator: Column | str, denominator: Column | str) -> Column:
 
 
 def clamp_zero(c: Column | str) -> Column:
+    """0 for negative values and for NaN."""
     c = as_column(c)
-    return F.when(c < 0, F.lit(0)).otherwise(c)
+    return F.when((c < 0) | F.isnan(c), F.lit(0)).otherwise(c)
 
 
 def fill_nan(c: Column | str, value: float = 0.0) -> Column:
@@ -87,9 +88,10 @@ def age_ramp(
 
 
 def water_stress(ftsw: Column | str, threshold: Column | float = k.FTSW_STRESS_THRESHOLD) -> Column:
-    """1 above the threshold, proportional to the soil water fraction below it."""
+    """1 above the threshold, proportional to the soil water fraction below it; NaN stays NaN."""
     ftsw = as_column(ftsw)
-    return F.when(ftsw > threshold, F.lit(1.0)).otherwise(ftsw / threshold)
+    above = (ftsw > threshold) & ~F.isnan(ftsw)
+    return F.when(above, F.lit(1.0)).otherwise(ftsw / threshold)
 
 
 # Light --------------------------------------------------------------------------------------

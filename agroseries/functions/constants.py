@@ -3,7 +3,6 @@
 # Composition of the organs.
 CARBON_FRUIT = 0.4857
 CARBON_LEAF = 0.45
-CARBON_INTERNODE = 0.45
 WATER_MESOCARP = 0.25
 DRY_TO_FRESH = 1 / (1 - WATER_MESOCARP)
 

@@ -63,12 +63,18 @@ def two_points(
     second: int,
     suffixes: tuple[str, str],
 ) -> DataFrame:
-    """Complete rows of one position of the series beside those of another, by key."""
-    sides = []
-    for point, suffix in zip((first, second), suffixes, strict=True):
-        names = {n: f"{n}{suffix}" for n in df.columns if n not in keys}
-        sides.append(df.where(F.col(position) == point).withColumnsRenamed(names))
-    return sides[0].join(sides[1], list(keys), "inner").na.drop("any")
+    """Complete rows of one position of the series beside those of another, by key.
+
+    One aggregation over the rows at either position; a key has one row per position.
+    """
+    values = [n for n in df.columns if n not in keys]
+    near = df.where(F.col(position).isin(first, second))
+    picked = [
+        F.max(F.when(F.col(position) == point, F.col(n))).alias(f"{n}{suffix}")
+        for point, suffix in zip((first, second), suffixes, strict=True)
+        for n in values
+    ]
+    return near.groupBy(*keys).agg(*picked).na.drop("any")
 
 
 def lookup_one(

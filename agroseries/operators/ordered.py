@@ -13,7 +13,6 @@ keys keep their group and nothing is broadcast.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
@@ -23,10 +22,11 @@ from pyspark.sql import functions as F
 from agroseries.functions.aggregates import order_key
 from agroseries.sources.shared import saved
 
-ROWS_PER_TASK = 4_000_000
-
 Blocks = Mapping[str, Column] | None
 
+SEED = "_scan_seed"
+EXACT = "decimal(38,12)"
+
 
 class Carry(NamedTuple):
     """A value carried along a series.
@@ -43,6 +43,15 @@ def carry_sum(value: Column) -> Carry:
     return Carry(value, F.sum, F.sum)
 
 
+def exact(df: DataFrame, value: Column) -> tuple[Column, bool]:
+    """``value`` as a type whose sums do not depend on how a series is cut, and if it was converted.
+
+    Floating-point values become DECIMAL with 12 decimals; NaN and infinite values count as missing.
+    """
+    floating = df.select(value.alias("v")).schema["v"].dataType.typeName() in ("double", "float")
+    return (value.try_cast(EXACT), True) if floating else (value, False)
+
+
 def carry_min(value: Column) -> Carry:
     return Carry(value, F.min, F.min)
 
@@ -63,13 +72,12 @@ def scan(
     blocks: Blocks = None,
     upto: int = 0,
     keep_blocks: bool = False,
-    long: Column | None = None,
 ) -> DataFrame:
     """Add one column per carry: its scan from the start of the series to row ``upto`` (0 or -1).
 
     ``order`` must be unique within a series. ``blocks`` maps names to expressions that never
     decrease along ``order``, coarse first; without blocks a series is one window partition, which
-    suits series of a bounded length.
+    suits series of a bounded length only (a row per day or month). The plan is the same at every size.
     """
     blocks = dict(blocks or {})
     values = {f"_value_{name}": carry for name, carry in carries.items()}
@@ -79,8 +87,7 @@ def scan(
 
     if blocks:
         *coarse, finest = blocks
-        summarised = work if long is None else work.where(long)
-        totals = summarised.groupBy(*cell).agg(*[c.total(F.col(v)).alias(v) for v, c in values.items()])
+        totals = work.groupBy(*cell).agg(*[c.total(F.col(v)).alias(v) for v, c in values.items()])
         before = scan(
             totals,
             by,
@@ -90,9 +97,9 @@ def scan(
             upto=-1,
             keep_blocks=True,
         )
-        seeds = before.select(*cell, *values).withColumn("_seed", F.lit(0))
-        work = work.withColumn("_seed", F.lit(1)).unionByName(seeds, allowMissingColumns=True)
-        sequence = [F.col("_seed"), *sequence]
+        seeds = before.select(*cell, *values).withColumn(SEED, F.lit(0))
+        work = work.withColumn(SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
+        sequence = [F.col(SEED), *sequence]
 
     window = (
         Window.partitionBy(*cell).orderBy(*sequence).rowsBetween(Window.unboundedPreceding, upto)
@@ -100,9 +107,9 @@ def scan(
     # computed under fresh names: a carry may replace the column it reads
     work = work.withColumns({f"_scan{v}": c.scan(F.col(v)).over(window) for v, c in values.items()})
     if blocks:
-        work = work.where(F.col("_seed") == 1)
+        work = work.where(F.col(SEED) == 1)
     results = {name: F.col(f"_scan_value_{name}") for name in carries}
-    dropped = [*values, *[f"_scan{v}" for v in values], "_seed"]
+    dropped = [*values, *[f"_scan{v}" for v in values], SEED]
     if not keep_blocks:
         dropped += [b for b in blocks if b not in df.columns]
     return work.withColumns(results).drop(*[c for c in dropped if c not in carries])
@@ -115,74 +122,13 @@ def _total_of_totals(carry: Carry, finest: str) -> Callable[[Column], Column]:
     return carry.scan
 
 
-class Cut(NamedTuple):
-    """Rows with the blocks to scan them by, and the condition of the series that are cut at all."""
-
-    df: DataFrame
-    blocks: Blocks
-    long: Column | None
-
-
-def fit_blocks(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    blocks: Blocks,
-    sizes: DataFrame | None = None,
-) -> Cut:
-    """The cheapest cut that keeps every task under ``rows_per_task`` rows of one series.
-
-    Series lengths are measured by one aggregation over the key columns. Short series stay whole.
-    Long ones get the given blocks, and if one of those is too large (most of a site on a single
-    day), Spark cuts them by the full order key. The long series have more than the limit of rows
-    each, so there are at most (rows / limit) of them: that bounds the broadcast list of their keys.
-
-    ``sizes`` is measured instead of ``df``: a table that holds at least the rows of ``df`` and is
-    cheaper to read, such as the source that ``df`` was filtered from.
-    """
-    limit = rows_per_task(df)
-    measured = df if sizes is None else sizes
-    lengths = measured.groupBy(*by).agg(F.count("*").alias("_length"))
-    long = saved(lengths.where(F.col("_length") > limit), "long")
-    n_long, rows = long.agg(F.count("*"), F.sum("_length")).first()
-    if not n_long:
-        return Cut(df, None, None)
-
-    marked = _mark(df, by, long)
-    is_long = F.col("_long")
-    if blocks:
-        long_rows = _mark(measured, by, long).where(is_long).withColumns(dict(blocks))
-        if long_rows.groupBy(*by, *blocks).count().agg(F.max("count")).first()[0] <= limit:
-            cut = {name: F.when(is_long, block) for name, block in blocks.items()}
-            return Cut(marked, cut, is_long)
-
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = even_blocks(marked.where(is_long), by, order, max(shuffle, 2 * math.ceil(rows / limit)))
-    whole = marked.where(~is_long).withColumn("_block", F.lit(None).cast("int"))
-    return Cut(whole.unionByName(pieces), {"_block": F.col("_block")}, is_long)
-
-
-def _mark(df: DataFrame, by: Sequence[str], long: DataFrame) -> DataFrame:
-    """Add ``_long``. Keys are compared with NULL as a value, as grouping does."""
-    if not by:
-        return df.withColumn("_long", F.lit(True))
-    keys = long.select(*[F.col(c).alias(f"_key_{c}") for c in by], F.lit(True).alias("_long"))
-    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by]
-    joined = df.join(F.broadcast(keys), same, "left").drop(*[f"_key_{c}" for c in by])
-    return joined.withColumn("_long", F.coalesce("_long", F.lit(False)))
-
-
-def rows_per_task(df: DataFrame) -> int:
-    """Rows of one series that a task may sort; set ``spark.agroseries.rowsPerTask`` to change it."""
-    return int(df.sparkSession.conf.get("spark.agroseries.rowsPerTask", str(ROWS_PER_TASK)))
-
-
 def even_blocks(
     df: DataFrame, by: Sequence[str], order: Sequence[str], partitions: int
 ) -> DataFrame:
     """Column ``_block``: blocks of about equal size for any distribution of the rows.
 
-    They are range partitions of (series, order). The rows are written with their block number, as
+    For a series without a calendar, or with most of its rows on one day; pass
+    ``{"_block": F.col("_block")}`` as blocks to the operator. They are range partitions of (series, order). The rows are written with their block number, as
     a recomputed range partitioning may cut elsewhere.
     """
     ranged = df.repartitionByRange(partitions, *by, *order)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -97,26 +96,15 @@ def extend_years(
     """Fill a series by repeating parts of it in other years.
 
     Each copy is (first day, last day, shift in years), both days included, and sees the rows that
-    earlier copies have made. Rows before ``start`` are dropped at the end. A row works out all the
-    dates it stands for, so the table is read once and nothing is shuffled: every sequence of
-    copies that some date can go through is one expression, NULL for the rows it does not apply to.
+    earlier copies have made. Rows before ``start`` are dropped at the end; rows without a date are
+    kept once. A row works out the dates it stands for, copy by copy, so the table is read once and
+    nothing is shuffled.
     """
-    # expression of a date, and the range of days it can take
-    dates = [(F.col(date), datetime.date.min, datetime.date.max)]
+    day = F.col(date)
     for first_day, last_day, years in copies:
-        first, last = datetime.date.fromisoformat(first_day), datetime.date.fromisoformat(last_day)
-        for expression, low, high in list(dates):
-            low, high = max(low, first), min(high, last)
-            if low <= high:
-                copied = F.when(expression.between(first, last), c.shift_years(expression, years))
-                dates.append((copied, _other_year(low, years), _other_year(high, years)))
-    extended = df.withColumn(date, F.explode(F.array(*[d[0] for d in dates])))
-    kept = F.col(date).isNotNull()
-    if start is not None:
-        kept &= F.col(date) >= F.lit(start).cast("date")
-    return extended.where(kept)
-
-
-def _other_year(day: datetime.date, years: int) -> datetime.date:
-    last_of_february = (day.month, day.day) == (2, 29)
-    return day.replace(year=day.year + years, day=28 if last_of_february else day.day)
+        copied = day.between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
+        both = F.when(copied, F.array(day, c.shift_years(day, years))).otherwise(F.array(day))
+        df = df.withColumn(date, F.explode(both))
+    if start is None:
+        return df
+    return df.where(day.isNull() | (day >= F.lit(start).cast("date")))

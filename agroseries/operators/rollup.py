@@ -95,8 +95,9 @@ def count_by(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
 
 
 def mean_positive(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Mean over the rows above zero; NULL for a group without any."""
-    return df.groupBy(*keys).agg(a.mean_where(value, F.col(value) > 0).alias(out))
+    """Mean over the rows above zero (NaN is not); NULL for a group without any."""
+    above = (F.col(value) > 0) & ~F.isnan(value)
+    return df.groupBy(*keys).agg(a.mean_where(value, above).alias(out))
 
 
 def mean_of_state(

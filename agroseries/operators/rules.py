@@ -73,12 +73,17 @@ def prune_firing(
 def prune_decision(
     df: DataFrame, rank_window: int, start: object, end: object, **options
 ) -> DataFrame:
-    """Every row with the decision in force: it holds from the step that fired to the end."""
+    """Every row with the decision in force: it holds from the step that fired to the end.
+
+    Keys are compared as grouping does, so a leaf with a NULL key is a leaf like any other.
+    """
     keys = options.get("keys", LEAF)
     step = options.get("step", "timestep")
     fired = prune_firing(df, rank_window, start, end, **options)
     fired = fired.withColumnRenamed("pruning_decision", "_decision")
-    joined = df.join(fired, list(keys), "left")
+    fired = fired.withColumnsRenamed({key: f"_key_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys]
+    joined = df.join(fired, same, "left").drop(*[f"_key_{key}" for key in keys])
     pruned = F.coalesce(F.col(step) >= F.col("fired_at"), F.lit(False))
     decision = F.when(pruned, F.col("_decision")).otherwise(F.lit(k.UNDETERMINED))
     result = joined.withColumns({"is_pruned": pruned, "pruning_decision": decision})
@@ -222,22 +227,21 @@ def propagate_harvest(
     ``edges`` holds (node, parent, symbol). A pruned leaf harvests its phytomer, two edges up, and
     the inflorescence beside it on the internode when there is exactly one.
     """
-    leaf_edges = edges.select(F.col("node").alias("_leaf"), F.col("parent").alias("internode"))
+    marks = pruned.select(F.col(node).alias("_leaf")).distinct().withColumn("_pruned", F.lit(True))
+    organs = edges.join(marks, edges["node"] == F.col("_leaf"), "left")
+    flowers = F.col("symbol").isin(*sexes)
     internodes = (
-        pruned.select(F.col(node).alias("_leaf"))
-        .join(leaf_edges, "_leaf")
-        .select("internode")
-        .distinct()
+        organs.groupBy(F.col("parent").alias("internode"))
+        .agg(
+            F.max("_pruned").alias("_pruned"),
+            F.count_if(flowers).alias("_n"),
+            F.min(F.when(flowers, F.col("node"))).alias("_flower"),
+        )
+        .where("_pruned")
     )
-    phytomers = internodes.join(
-        edges.select(F.col("node").alias("internode"), F.col("parent").alias("node")), "internode"
-    ).select("node")
-    inflorescences = (
-        edges.where(F.col("symbol").isin(*sexes))
-        .groupBy(F.col("parent").alias("internode"))
-        .agg(F.count("*").alias("_n"), F.min("node").alias("node"))
-        .where(F.col("_n") == 1)
+    above = edges.select(F.col("node").alias("internode"), F.col("parent").alias("_phytomer"))
+    beside = F.when(F.col("_n") == 1, F.col("_flower"))
+    reached = internodes.join(above, "internode", "left").select(
+        F.explode(F.array("_phytomer", beside)).alias("node")
     )
-    beside = inflorescences.join(internodes, "internode", "left_semi").select("node")
-    reached = phytomers.where(F.col("node").isNotNull()).unionByName(beside).distinct()
-    return reached.withColumn("state", F.lit(k.HARVESTED))
+    return reached.where(F.col("node").isNotNull()).distinct().withColumn("state", F.lit(k.HARVESTED))

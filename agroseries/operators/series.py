@@ -16,35 +16,22 @@ from agroseries.operators.ordered import (
     carry_last,
     carry_min,
     carry_sum,
-    fit_blocks,
+    exact,
     scan,
 )
 
 INCREMENT = "decimal(18,9)"
 
 
-def _scan(df, by, order, carries, blocks, bounded=False, upto=0, sizes=None):
-    """Scan with fitted blocks; ``bounded`` series are short by construction and not measured."""
-    if bounded:
-        return scan(df, by, order, carries, upto=upto)
-    cut = fit_blocks(df, by, order, blocks, sizes)
-    scanned = scan(cut.df, by, order, carries, cut.blocks, upto, long=cut.long)
-    return scanned.drop("_block", "_long")
-
-
 def row_index(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
     blocks: Blocks = None,
     out: str = "timestep",
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based position of each row in its series; ``by=[]`` numbers the whole table.
-
-    ``sizes`` is a cheaper table with at least the same rows, to measure series lengths on.
-    """
-    return _scan(df, by, order, {out: carry_count()}, blocks, sizes=sizes)
+    """1-based position of each row in its series; ``by=[]`` numbers the whole table, by blocks."""
+    return scan(df, by, order, {out: carry_count()}, blocks)
 
 
 def running_sum(
@@ -54,18 +41,19 @@ def running_sum(
     sums: Mapping[str, str | Column],
     blocks: Blocks = None,
     index: str | None = None,
-    bounded: bool = False,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Cumulative sums; ``sums`` maps output names to inputs.
 
-    ``index`` also numbers the rows, in the same scan. ``bounded`` states that a series cannot be
-    long (one row per month, say), which saves measuring it. ``sizes`` as in ``row_index``.
+    ``index`` also numbers the rows, in the same scan. Floating-point inputs are summed exactly (see
+    ``ordered.exact``) and come back as DOUBLE, so the blocks do not show in the result.
     """
-    carries = {out: carry_sum(c.as_column(source)) for out, source in sums.items()}
+    inputs = {out: exact(df, c.as_column(source)) for out, source in sums.items()}
+    carries = {out: carry_sum(value) for out, (value, _) in inputs.items()}
     if index:
         carries[index] = carry_count()
-    return _scan(df, by, order, carries, blocks, bounded, sizes=sizes)
+    summed = scan(df, by, order, carries, blocks)
+    converted = {out: F.col(out).cast("double") for out, (_, floating) in inputs.items() if floating}
+    return summed.withColumns(converted) if converted else summed
 
 
 def cumulative_demand(
@@ -122,7 +110,7 @@ def lag_step(
     """Value at the previous step of the same series, ``initial[out]`` at its first step."""
     carries = {out: carry_last(F.col(source), order) for out, source in values.items()}
     carries["_steps_before"] = carry_count()
-    lagged = _scan(df, by, order, carries, blocks, upto=-1)
+    lagged = scan(df, by, order, carries, blocks, upto=-1)
     starts = {
         out: F.when(F.col("_steps_before").isNull(), F.lit(value)).otherwise(F.col(out))
         for out, value in (initial or {}).items()
@@ -180,22 +168,20 @@ def emission_counter(
 ) -> DataFrame:
     """Organs present after each step, when at most one is emitted per step.
 
-    Increments (not negative) accumulate; a step that finds one unit or more takes one unit off and
+    Increments accumulate (a negative one is an error); a step that finds one unit or more takes one unit off and
     emits. The count starts at 1. A step cannot emit more than what has arrived since any earlier
     step plus one per step after it, so the count is a running minimum over the series and needs no
     row-by-row state: two scans, one for the position and the accumulated amount, one for the
     minimum.
     """
     amount = c.as_column(increment).cast(INCREMENT)
+    amount = F.when(amount < 0, F.raise_error(F.lit("negative emission increment"))).otherwise(amount)
     carries = {"_step": carry_count(), "_amount": carry_sum(amount)}
-    cut = fit_blocks(df, by, order, blocks)
-    first = scan(cut.df, by, order, carries, cut.blocks, keep_blocks=True, long=cut.long)
+    first = scan(df, by, order, carries, blocks, keep_blocks=True)
 
     behind = F.floor("_amount").cast("bigint") - F.col("_step")
-    same_blocks = {name: F.col(name) for name in cut.blocks or {}}
-    second = scan(
-        first, by, ["_step"], {"_behind": carry_min(behind)}, same_blocks, long=cut.long
-    )
+    same_blocks = {name: F.col(name) for name in blocks or {}}
+    second = scan(first, by, ["_step"], {"_behind": carry_min(behind)}, same_blocks)
     count = 1 + F.col("_step") + F.least(F.lit(0), F.col("_behind"))
     return second.withColumn(out, count).select(*df.columns, out)
 

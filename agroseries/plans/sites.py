@@ -121,14 +121,14 @@ def compare_observations(
     than the calendar and its window needs no blocks.
     """
     accumulated = running_sum(
-        observed, series, order, {f"{emitted}_cum": emitted}, bounded=True
+        observed, series, order, {f"{emitted}_cum": emitted}
     )
     simulated = months.select(
         "Site", "date", "TEff", F.col("phytomer_emitted").alias(f"{emitted}_sim")
     )
     both = join_complete(accumulated, simulated, {"site": "Site", "date": "date"})
     compared = running_sum(
-        both, series, order, {f"{emitted}_cum_sim": f"{emitted}_sim"}, bounded=True
+        both, series, order, {f"{emitted}_cum_sim": f"{emitted}_sim"}
     )
     per_heat = c.ratio(F.col(emitted).cast("double"), F.col("TEff").cast("double"))
     return compared.withColumn(f"{emitted}_per_TEff", per_heat)

@@ -9,7 +9,7 @@ from agroseries.operators import checks, rollup
 from workload import roles
 from workload.joins import OBSERVED, compared
 from workload.registry import query
-from workload.roles import LEAVES, MONTHS, ORGANS, PLANTS
+from workload.roles import MONTHS, ORGANS, PLANTS
 from workload.rollups import STATE_COUNTS, leaf_counts
 
 
@@ -126,14 +126,14 @@ def check_unique_key(spark, sf):
 
 
 @query(
-    f"WITH {LEAVES}"
+    f"WITH {ORGANS}"
     + verdict(
         "leaf_key",
         "count(*) FILTER (WHERE n <> 1)",
-        '(SELECT count(*) AS n FROM leaves GROUP BY "Site", node, timestep)',
+        '(SELECT count(*) AS n FROM organs GROUP BY id, line)',
     )
 )
 def check_leaf_key(spark, sf):
     return checks.check_unique_key(
-        roles.leaves(spark, sf), ["Site", "node", "timestep"], "leaf_key"
+        roles.organs(spark, sf), ["id", "line"], "leaf_key"
     )

@@ -86,7 +86,6 @@ def plants(spark: SparkSession, sf: str) -> DataFrame:
         },
         day_blocks(),
         index="timestep",
-        sizes=series(spark, sf),
     ).drop("_emitted")
 
 
@@ -198,7 +197,6 @@ def scenario_plants(spark: SparkSession, sf: str) -> DataFrame:
         ["rank_leaves_left", "window_duration"],
         ["timestep"],
         {"biomass_bunch_harvested_cum": "biomass_bunch_harvested"},
-        bounded=True,
     )
     return month_index(totals)
 

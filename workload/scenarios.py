@@ -36,8 +36,11 @@ def scenario_grid(spark, sf):
 @query(
     f"""
 WITH {MONTHS},
+days AS (
+  SELECT DISTINCT "Site", date, months_after_planting FROM months
+  UNION ALL SELECT DISTINCT "Site", date, months_after_planting FROM months WHERE day(date) = 13),
 calendar AS (
-  SELECT "Site", date, min(months_after_planting) AS m, count(*) AS n FROM months GROUP BY 1, 2),
+  SELECT "Site", date, min(months_after_planting) AS m, count(*) AS n FROM days GROUP BY 1, 2),
 windows AS (
   SELECT node, "Site", min(date) AS start_date, d AS window_duration,
          CAST(min(date) + INTERVAL (d) MONTH AS DATE) AS end_date
@@ -49,7 +52,8 @@ LEFT JOIN calendar a ON w."Site" = a."Site" AND w.start_date = a.date
 LEFT JOIN calendar b ON w."Site" = b."Site" AND w.end_date = b.date"""
 )
 def window_bounds(spark, sf):
-    calendar = roles.months(spark, sf).select("Site", "date", "months_after_planting")
+    days = roles.months(spark, sf).select("Site", "date", "months_after_planting").distinct()
+    calendar = days.unionByName(days.where(F.dayofmonth("date") == 13))  # the 13th is there twice
     starts = roles.series(spark, sf).groupBy("node", "Site").agg(F.min("date").alias("start_date"))
     windows = scenario.window_end(
         starts.withColumn(

@@ -84,21 +84,31 @@ def lag_step(spark, sf):
     return doubles(lagged.select("event_id", "node", "value_before", "state_before"))
 
 
+# step by step: the stock takes the amount in, and one unit out when it holds one
 COUNTER = """
-accumulated AS (
-  SELECT *, sum(amount) OVER w AS total, row_number() OVER w AS t FROM increments
-  WINDOW w AS (PARTITION BY {keys} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS t FROM increments),
 counted AS (
-  SELECT *, CAST(1 + t + least(0, min(floor(total) - t) OVER (PARTITION BY {keys} ORDER BY t
-    ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS emitted
-  FROM accumulated)"""
+  SELECT {keys}, event_id, t, CAST(1 + (amount >= 1)::INT AS BIGINT) AS emitted,
+         CAST(amount - (amount >= 1)::INT AS DECIMAL(38,9)) AS stock
+  FROM numbered WHERE t = 1
+  UNION ALL
+  SELECT {named}, n.event_id, n.t, c.emitted + (c.stock + n.amount >= 1)::INT,
+         CAST(c.stock + n.amount - (c.stock + n.amount >= 1)::INT AS DECIMAL(38,9))
+  FROM counted c JOIN numbered n ON {same} AND n.t = c.t + 1)"""
+ONE = {"keys": "node", "named": "n.node", "same": "n.node = c.node"}
+SWEPT = {
+    "keys": "param_id, node",
+    "named": "n.param_id, n.node",
+    "same": "n.node = c.node AND n.param_id = c.param_id",
+}
 
 
 @query(
     f"""
-WITH {FINE}, increments AS (
+WITH RECURSIVE {FINE}, increments AS (
   SELECT node, ts, event_id, CAST(value * 0.01 AS DECIMAL(18,9)) AS amount FROM fine),
-{COUNTER.format(keys="node")}
+{COUNTER.format(**ONE)}
 SELECT event_id, node, emitted FROM counted"""
 )
 def emission_counter(spark, sf):
@@ -124,7 +134,7 @@ _SETS = ", ".join(
 
 @query(
     f"""
-WITH sets(param_id, speed_initial, speed_mature) AS (VALUES {_SETS}),
+WITH RECURSIVE sets(param_id, speed_initial, speed_mature) AS (VALUES {_SETS}),
 observed AS (
   SELECT user_id AS node, ts, event_id, CAST(value AS DOUBLE) AS teff,
          (CAST(ts AS DATE) - DATE '2024-01-01') * 110 AS age, (event_id % 10) / 10e0 AS ftsw
@@ -134,7 +144,7 @@ increments AS (
          CAST(teff * ({_RAMP}) * CASE WHEN ftsw > 0.3e0 THEN 1e0 ELSE ftsw / 0.3e0 END
            AS DECIMAL(18,9)) AS amount
   FROM observed CROSS JOIN sets),
-{COUNTER.format(keys="param_id, node")}
+{COUNTER.format(**SWEPT)}
 SELECT param_id, event_id, node, emitted FROM counted"""
 )
 def emission_sweep(spark, sf):

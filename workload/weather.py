@@ -387,9 +387,9 @@ def date_shifts(spark, sf):
 
 @query(
     f"""
-WITH {SERIES} SELECT date, id, CAST(x AS DOUBLE) AS x, "Site" FROM series WHERE "Site" <> 'P'"""
+WITH {SERIES} SELECT date, id, CAST(x AS DOUBLE) AS x, "Site" FROM series"""
 )
 def write_by_site(spark, sf):
     path = shared.scratch_path(spark, "by-site")
     files.write_by(roles.series(spark, sf).select("Site", "date", "id", "x"), path)
-    return doubles(files.scan_parquet(spark, path).where(F.col("Site") != "P"))
+    return doubles(files.scan_parquet(spark, path))
