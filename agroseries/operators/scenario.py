@@ -129,10 +129,25 @@ def open_leaf_area(
     leaf_area: str = "leaf_area",
     area: float = k.SCENE_AREA_M2,
 ) -> DataFrame:
-    """Area of the open leaves per step in one scenario, from the day after a date on."""
+    """Area of the open leaves per step in one scenario, from the day after a date on, by step.
+
+    The sort is of one row per step, after the aggregation.
+    """
     chosen = F.col(date) >= F.date_add(F.lit(after).cast("date"), 1)
     for name, value in scenario.items():
         chosen &= F.col(name) == value
     opened = df.where(chosen & (F.col(state) == k.OPENED))
     summed = opened.groupBy(step).agg(F.sum(leaf_area).alias("leaf_area"))
-    return summed.withColumn("lai_opened", c.area_index(F.col("leaf_area").cast("double"), area))
+    index = c.area_index(F.col("leaf_area").cast("double"), area)
+    return summed.withColumn("lai_opened", index).orderBy(step)
+
+
+def count_decisions(
+    df: DataFrame,
+    decision: str = k.PRUNED_IN_WINDOW,
+    keys: Sequence[str] = SCENARIO,
+    column: str = "pruning_decision",
+    out: str = "n_leaves",
+) -> DataFrame:
+    """Rows of each scenario with one decision; scenarios without any are left out."""
+    return df.where(F.col(column) == decision).groupBy(*keys).agg(F.count("*").alias(out))

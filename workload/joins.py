@@ -80,6 +80,24 @@ def obs_vs_sim(spark, sf):
     return doubles(compared(spark, sf))
 
 
+@query(
+    f"""
+WITH {OBSERVED},
+periods AS (
+  SELECT 'early' AS period, site, "nb_leaves_emitted_per_TEff" AS rate FROM compared WHERE months_after_planting < 20
+  UNION ALL
+  SELECT 'late', site, "nb_leaves_emitted_per_TEff" FROM compared WHERE months_after_planting > 40),
+means AS (SELECT period, site, avg(rate) AS rate FROM periods GROUP BY 1, 2)
+SELECT period, round(avg(rate), 10) AS phyllochron FROM means GROUP BY 1"""
+)
+def phyllochron_means(spark, sf):
+    rows = compared(spark, sf)
+    month, rate = F.col("months_after_planting"), "nb_leaves_emitted_per_TEff"
+    periods = {"early": rows.where(month < 20), "late": rows.where(month > 40)}
+    means = {p: rollup.mean_of_means(df, ["site"], rate, "phyllochron") for p, df in periods.items()}
+    return reshape.unite_tagged(means, "period").withColumn("phyllochron", F.round("phyllochron", 10))
+
+
 @query(
     f"""
 WITH {OBSERVED}

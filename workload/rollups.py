@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agroseries.functions import constants as k
-from agroseries.operators import rollup, scenario
+from agroseries.operators import reshape, rollup, scenario
 from agroseries.operators.series import month_index
 from agroseries.plans import sites
 from workload import roles
@@ -87,6 +87,32 @@ def month_rollup(spark, sf):
     return doubles(sites.plant_months(roles.plants(spark, sf)))
 
 
+@query(
+    f"""
+WITH {PLANTS}
+SELECT "Site", months_after_planting,
+       CAST(date_trunc('month', arg_min(date, timestep)) AS DATE) AS date,
+       max(timestep) - min(timestep) + 1 AS nb_timesteps,
+       CAST(sum("TEff") AS DOUBLE) AS "TEff",
+       CAST(sum(biomass_bunch_harvested) AS DOUBLE) AS biomass_bunch_harvested_monthly,
+       CAST(sum(n_bunches_harvested) AS BIGINT) AS n_bunches_harvested_monthly,
+       CAST(arg_max(biomass_bunch_harvested_cum, timestep) AS DOUBLE) AS biomass_bunch_harvested_cum,
+       CAST(arg_max(n_bunches_harvested_cum, timestep) AS BIGINT) AS n_bunches_harvested_cum,
+       CAST(arg_max(phytomer_count, timestep) AS BIGINT) AS phytomer_count,
+       CAST(arg_max(phytomer_count, timestep) - arg_min(phytomer_count, timestep) AS BIGINT)
+         AS phytomer_emitted,
+       CAST(sum(biomass_bunch_harvested) AS DOUBLE) * 1e-3 / 0.4857e0 * {FRESH} AS ffb_kg
+FROM plants GROUP BY 1, 2"""
+)
+def site_months(spark, sf):
+    """Outputs of all sites on top of each other, joined to the weather by step, rolled up."""
+    plants = roles.plants(spark, sf)
+    weather = plants.select("Site", "timestep", "date", "months_after_planting", "TEff")
+    output = plants.drop("date", "months_after_planting", "TEff")
+    by_site = [output.where(F.col("Site") == site) for site in ("F", "O", "P")]
+    return doubles(sites.plant_months(reshape.unite(by_site), weather))
+
+
 @query(
     f"""
 WITH {PLANTS}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agroseries.operators import rules
+from agroseries.operators import rules, scenario
 from workload import roles
 from workload.registry import doubles, query
 from workload.roles import EPOCH, LEAVES
@@ -97,6 +97,24 @@ def prune_sweep(spark, sf):
     return rules.prune_sweep(roles.leaves(spark, sf), SCENARIOS, rank_max=RANK_MAX)
 
 
+@query(
+    f"""
+WITH {LEAVES},
+scenarios(rank_leaves_left, window_duration, start_date, end_date) AS (VALUES {_SCENARIOS}),
+fired AS (
+  SELECT "Site", node, rank_leaves_left, window_duration, coalesce({_OPEN}, false) AS in_window
+  FROM leaves CROSS JOIN scenarios
+  WHERE rank > {RANK_MAX} OR state = 'Pruned' OR ({_OPEN})
+  QUALIFY row_number() OVER (
+    PARTITION BY "Site", node, rank_leaves_left, window_duration ORDER BY timestep) = 1)
+SELECT rank_leaves_left, window_duration, count(*) AS n_leaves
+FROM fired WHERE in_window GROUP BY 1, 2"""
+)
+def scenario_decisions(spark, sf):
+    swept = rules.prune_sweep(roles.leaves(spark, sf), SCENARIOS, rank_max=RANK_MAX)
+    return scenario.count_decisions(swept)
+
+
 OLEO = "(6300e0 + 405e0 + (1 - 0.8e0) * (12150e0 - (6300e0 + 405e0)))"
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from agroseries.functions import constants as k
 from agroseries.operators import scenario
+from agroseries.operators.series import running_sum
 from agroseries.plans import scenarios
 from workload import roles
 from workload.registry import doubles, num, query
@@ -141,3 +144,87 @@ FROM scenario_years WHERE year >= 1998 GROUP BY 1, 2"""
 def scenario_since_window(spark, sf):
     years = scenarios.scenario_years(roles.scenario_plants(spark, sf))
     return scenario.total_since(years, "biomass_bunch_harvested", 1998)
+
+
+FULL = f"""{SCENARIO_PLANTS},
+outputs AS (
+  SELECT *, timestep % 5 AS n_bunches_harvested, biomass_bunch_harvested * 0.5 AS biomass_fruit_harvested,
+         CAST(sum(timestep % 5) OVER w AS BIGINT) AS n_bunches_harvested_cum,
+         CAST(sum(timestep % 3) OVER w AS BIGINT) AS phytomer_count
+  FROM scenario_plants
+  WINDOW w AS (PARTITION BY rank_leaves_left, window_duration ORDER BY date ROWS UNBOUNDED PRECEDING))"""
+
+
+def outputs(spark, sf):
+    """Scenario outputs with bunches, fruit and phytomers, one row per scenario and day."""
+    plants = roles.scenario_plants(spark, sf).withColumns(
+        {
+            "n_bunches_harvested": F.col("timestep") % 5,
+            "_emitted": F.col("timestep") % 3,
+            "biomass_fruit_harvested": F.col("biomass_bunch_harvested") * F.lit(Decimal("0.5")),
+        }
+    )
+    sums = {"n_bunches_harvested_cum": "n_bunches_harvested", "phytomer_count": "_emitted"}
+    return running_sum(plants, ["rank_leaves_left", "window_duration"], ["timestep"], sums)
+
+
+@query(
+    f"""
+WITH {FULL}
+SELECT months_after_planting, rank_leaves_left, window_duration,
+       CAST(date_trunc('month', min(date)) AS DATE) AS date,
+       max(timestep) - min(timestep) + 1 AS nb_timesteps,
+       CAST(sum(biomass_bunch_harvested) AS DOUBLE) AS biomass_bunch_harvested_monthly,
+       CAST(arg_max(biomass_bunch_harvested_cum, timestep) AS DOUBLE) AS biomass_bunch_harvested_cum,
+       CAST(sum(n_bunches_harvested) AS BIGINT) AS n_bunches_harvested_monthly,
+       arg_max(n_bunches_harvested_cum, timestep) AS n_bunches_harvested_cum,
+       arg_max(phytomer_count, timestep) AS phytomer_count,
+       arg_max(phytomer_count, timestep) - arg_min(phytomer_count, timestep) AS phytomer_emitted
+FROM outputs GROUP BY 1, 2, 3"""
+)
+def scenario_months(spark, sf):
+    return doubles(scenarios.scenario_months(outputs(spark, sf)))
+
+
+@query(
+    f"""
+WITH {FULL}
+SELECT rank_leaves_left, window_duration, CAST(year(date) AS INTEGER) AS year,
+       max(timestep) - min(timestep) + 1 AS nb_timesteps,
+       CAST(sum(biomass_bunch_harvested) AS DOUBLE) AS biomass_bunch_harvested,
+       CAST(sum(biomass_fruit_harvested) AS DOUBLE) AS biomass_fruit_harvested,
+       CAST(arg_max(biomass_bunch_harvested_cum, timestep) AS DOUBLE) AS biomass_bunch_harvested_cum,
+       CAST(sum(biomass_bunch_harvested) AS DOUBLE) {T_HA} AS ffb_t_ha,
+       CAST(sum(biomass_fruit_harvested) AS DOUBLE) {T_HA} AS fruit_t_ha
+FROM outputs GROUP BY 1, 2, year(date)"""
+)
+def scenario_years(spark, sf):
+    return doubles(scenarios.scenario_years(outputs(spark, sf)))
+
+
+@query(
+    f"""
+WITH scenario_leaves AS (
+  SELECT CAST(25 + 5 * ((l_linenumber - 1) % 6) AS INTEGER) AS rank_leaves_left,
+         CASE WHEN l_linestatus = 'O' THEN 6 ELSE 12 END AS window_duration,
+         CAST(CAST(l_shipdate AS DATE) - DATE '1995-01-01' AS INTEGER) AS timestep,
+         CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS DECIMAL(18,2)) AS leaf_area, l_returnflag
+  FROM lineitem)
+SELECT timestep, CAST(sum(leaf_area) AS DOUBLE) AS leaf_area,
+       CAST(sum(leaf_area) AS DOUBLE) / {AREA} AS lai_opened
+FROM scenario_leaves
+WHERE l_returnflag = 'N' AND date >= DATE '1997-07-02' AND rank_leaves_left = 25 AND window_duration = 6
+GROUP BY 1 ORDER BY 1"""
+)
+def scenario_open_leaf_area(spark, sf):
+    date = F.col("l_shipdate").cast("date")
+    leaves = roles.read(spark, sf, "lineitem").select(
+        (25 + 5 * ((F.col("l_linenumber") - 1) % 6)).cast("int").alias("rank_leaves_left"),
+        F.when(F.col("l_linestatus") == "O", 6).otherwise(12).alias("window_duration"),
+        date.alias("date"),
+        roles.step_of(date).alias("timestep"),
+        F.when(F.col("l_returnflag") == "N", k.OPENED).otherwise(k.PRUNED).alias("state"),
+        F.col("l_quantity").cast(roles.MONEY).alias("leaf_area"),
+    )
+    chosen = {"rank_leaves_left": 25, "window_duration": 6}
+    return doubles(scenario.open_leaf_area(leaves, "1997-07-01", chosen))
