@@ -173,3 +173,36 @@ def test_harvest_reaches_phytomer_and_single_inflorescence(spark):
     pruned = spark.createDataFrame([(11,), (21,), (31,)], "node long")
     got = {r["node"] for r in rules.propagate_harvest(pruned, edges).collect()}
     assert got == {1, 2, 3, 12}
+
+
+def test_leaves_with_null_keys_are_pruned(spark):
+    rows = [(None, 1, 1, 60, "Opened", "2020-01-01"), (None, 1, 2, 60, "Opened", "2020-01-02")]
+    df = spark.createDataFrame(rows, "Site string, node int, timestep int, rank int, state string, date string")
+    df = df.withColumn("date", F.col("date").cast("date"))
+    decided = rules.prune_decision(df, 30, "2021-01-01", "2021-02-01", rank_max=45)
+    assert {r["pruning_decision"] for r in decided.collect()} == {"Pruned at rank"}
+    swept = rules.prune_sweep(
+        df, [{"rank_leaves_left": 30, "window_duration": 6, "start_date": "2021-01-01", "end_date": "2021-02-01"}], rank_max=45
+    )
+    assert [r["pruning_decision"] for r in swept.collect()] == ["Pruned at rank"]
+
+
+def test_rows_without_a_date_stay_when_years_are_copied(spark):
+    from agroseries.operators.reshape import extend_years
+
+    df = spark.createDataFrame([(None, 1), ("2020-02-29", 2)], "d string, x int").select(F.col("d").cast("date").alias("date"), "x")
+    copies = [("2020-01-01", "2020-12-31", k) for k in range(1, 13)]
+    got = sorted((str(r[0]), r[1]) for r in extend_years(df, copies).collect())
+    assert got[-1] == ("None", 1) and len(got) == 14
+    assert len(extend_years(df, copies, start="2021-01-01").collect()) == 13
+
+
+def test_nan_in_expressions(spark):
+    import math
+
+    from agroseries.functions import columns as c
+
+    row = spark.createDataFrame([(float("nan"),)], "x double").select(
+        c.clamp_zero("x").alias("clamped"), c.water_stress("x").alias("stress")
+    ).first()
+    assert row["clamped"] == 0 and math.isnan(row["stress"])

@@ -101,3 +101,13 @@ def test_shared_folder_comes_from_the_session(spark):
     kept = shared.saved(spark.range(5), "five")
     assert kept.count() == 5
     assert all(shared.shared_dir(spark) in file for file in kept.inputFiles())
+
+
+def test_scratch_tables_are_cleared(spark):
+    from agroseries.sources import shared
+
+    kept = shared.saved(spark.range(5), "numbers")
+    assert kept.count() == 5
+    shared.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|FileNotFound|does not exist"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
