@@ -106,7 +106,7 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
     def close(tag: str) -> None:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == tag:
-                if any(x[0] in BLOCKS or x[1] != stack[k - 1][1] for x in stack[max(k, 1) :]):
+                if stack[-1][1] != (stack[k - 1][1] if k else ""):
                     end_block()
                 del stack[k:]
                 return

@@ -3,8 +3,8 @@
 Every seed (e-mail, IP, card, phone) stands in a context: the two words before it, and the words on
 either side. Such contexts are lexical patterns. Other tokens that look like identifiers stand in
 contexts too. Pattern and identifier form a graph with counts; Spark scores it in rounds: a pattern
-is trusted for a kind by the share of its mentions that are trusted instances of the kind, an
-instance by the patterns that point at it. Unseen identifiers that only trusted patterns explain are
+is trusted for a kind by the share of its mentions that are trusted instances of the kind (tokens not
+yet known count a quarter), an instance by the patterns that point at it. Unseen identifiers that only trusted patterns explain are
 added. The fixed matches always stay.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from agroseries.sources.shared import saved
 
 KINDS = ("email", "ip", "card", "phone")
+UNSEEN_WEIGHT = 0.25  # of a token of unknown kind against a seed, in the mentions of a pattern
 EMAIL, IP, CARD, PHONE = range(4)
 # fixed values: the base patterns
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -179,7 +180,8 @@ def bootstrap(found: DataFrame, rounds: int, least_support: int, trusted: float)
         F.count("*").alias("n"), F.max("seed").alias("seed"), F.count_if("first").alias("mentions")
     )
     edges = saved(counts, "edges")
-    totals = edges.groupBy("pattern").agg(F.sum("mentions").alias("total"))
+    weight = F.when(F.col("seed"), 1.0).otherwise(UNSEEN_WEIGHT)
+    totals = edges.groupBy("pattern").agg(F.sum(F.col("mentions") * weight).alias("total"))
     score = edges.groupBy("value", "kind").agg(F.max("seed").alias("seed"))
     score = saved(score.withColumn("score", F.col("seed").cast("double")), "scores")
     for _ in range(rounds):
@@ -218,8 +220,9 @@ def find(
     """
     keep = [c for c in (keep or df.columns) if c not in ("base", "spans")]
     rows = df.select(*keep, F.monotonically_increasing_id().alias("__llm_row"), scan(F.col(text_col)).alias("__llm_scan"))
-    rows = saved(rows.select(*keep, "__llm_row", "__llm_scan.*").drop(*[c for c in ("base", "mentions") if c in keep]), "mentions")
-    found = rows.select("__llm_row", F.inline("mentions"))
+    base, mentioned = F.col("__llm_scan.base").alias("base"), F.col("__llm_scan.mentions").alias("__llm_mentions")
+    rows = saved(rows.select(*keep, "__llm_row", base, mentioned), "mentions")
+    found = rows.select("__llm_row", F.inline("__llm_mentions"))
     new = bootstrap(found, rounds, least_support, trusted)
     told = found.where(~F.col("seed")).join(new, ["value", "kind"]).distinct()
     added = told.groupBy("__llm_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("__llm_added"))
