@@ -219,7 +219,7 @@ FROM scores QUALIFY rank <= 5
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: pattern matches, and what their contexts lead to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find(docs, "text")
+    found = pii.find(docs, "text", keep=["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
     return found.select(
         "doc_id",
