@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from agroseries.sources.shared import saved
 
-KNOWN_WORDS, NEW_WORDS = 400_000, 200_000
+KNOWN_WORDS, NEW_WORDS = 300_000, 100_000
 SLICE_BYTES = 1 << 20
 _encoders: dict[str, WordEncoder] = {}
 
@@ -83,7 +83,8 @@ def _slices(texts: pa.Array) -> Iterator[list[bytes]]:
         if size >= SLICE_BYTES:
             yield some
             some, size = [], 0
-    yield some
+    if some:
+        yield some
 
 
 def _encoder(vocabulary: str) -> WordEncoder:
@@ -112,12 +113,16 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, first = _encoder(source.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [b + end for some in _slices(batch.column("text")) for b in encoder.encode(some)]
-            tokens = np.array([len(b) // 4 for b in ids], dtype=np.int64)
-            begins = first + np.cumsum(tokens) - tokens
-            first += int(tokens.sum())
-            columns = [batch.column("id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(begins), pa.array(tokens)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=schema.names)
+            at = 0
+            for some in _slices(batch.column("text")):
+                ids = [b + end for b in encoder.encode(some)]
+                tokens = np.array([len(b) // 4 for b in ids], dtype=np.int64)
+                begins = first + np.cumsum(tokens) - tokens
+                first += int(tokens.sum())
+                parts = pa.array(np.full(len(ids), part, np.int32))
+                columns = [batch.column("id").slice(at, len(ids)), parts, pa.array(begins), pa.array(tokens)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=schema.names)
+                at += len(ids)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, schema)

@@ -36,6 +36,7 @@ CLOSES = {
     "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
 SCOPE = frozenset("html body article section main div table ul ol dl blockquote td th form nav header footer aside".split())
+WHOLE = frozenset("html body main article".split())  # hold the content whatever their class names
 FURNITURE_TAGS = frozenset("head nav footer aside form button select dialog menu search".split())
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr "
@@ -60,7 +61,8 @@ def label_of(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
         classes = sorted(re.findall(r"[a-z]+", values.get("class", "").lower()))
         named = [*classes, *re.findall(r"[a-z]+", f"{values.get('id', '')} {values.get('role', '')}".lower())]
         gone = "display:none" in values.get("style", "").replace(" ", "") or values.get("aria-hidden") == "true"
-        furniture |= gone or bool(re.search(r"\shidden(\s|$|/)", rest)) or not FURNITURE_WORDS.isdisjoint(named)
+        furniture |= gone or bool(re.search(r"\shidden(\s|$|/)", rest))
+        furniture |= tag not in WHOLE and not FURNITURE_WORDS.isdisjoint(named)
     return ".".join([tag, *classes]), furniture
 
 
