@@ -192,17 +192,27 @@ def predict_texts(net: Network, texts: Iterator[bytes]) -> Iterator[np.ndarray]:
     yield from (t / max(1, n) for t, n in zip(totals, sizes, strict=True))
 
 
+def _lowest(share: float) -> int:
+    """Upper bound of the lowest ``share`` of signed 64-bit hashes."""
+    return min(2**63 - 1, int(share * 2**64) - 2**63)
+
+
 def sample_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: Column, per_lang: int):
     """Windows and labels to learn from: at most ``per_lang`` texts per language, a window of each.
 
     The texts of lowest id hash are taken and, of each, the window that the hash points at; null
-    languages, null texts and texts without a letter teach nothing.
+    languages, null texts and texts without a letter teach nothing. The hashes are cut at twice the
+    share wanted before they are ranked; of equal ids (one hash) a language may then give fewer.
     """
     usable = df.where(rows & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     named = usable.select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("data"),
         F.xxhash64(F.col(id_col).cast("string"), F.lit(1)).alias("key"),
     )
+    # only hashes that can be among the lowest are ranked, so that no task gets a whole language
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    near = [F.when(F.col("lang") == lang, F.lit(_lowest(2 * per_lang / n))) for lang, n in sizes.items()]
+    named = named.where(F.col("key") <= F.coalesce(*near)) if near else named
     places = F.greatest(F.lit(1), F.ceil(F.octet_length("data") / WIDTH))
     begin = F.pmod(F.xxhash64("key"), places) * WIDTH
     named = named.select("lang", "key", F.substring("data", (begin + 1).cast("int"), F.lit(WIDTH)).alias("window"))
