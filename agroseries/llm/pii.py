@@ -4,8 +4,8 @@ Every seed (e-mail, IP, card, phone) stands in a context: the two words before i
 either side. Such contexts are lexical patterns. Other tokens that look like identifiers stand in
 contexts too. Pattern and identifier form a graph with counts; Spark scores it in rounds: a pattern
 is trusted for a kind by the share of its mentions that are trusted instances of the kind (tokens not
-yet known count a quarter), an instance by the patterns that point at it. Unseen identifiers that only trusted patterns explain are
-added. The fixed matches always stay.
+trusted for any kind so far count a quarter), an instance by the patterns that point at it. Unseen
+identifiers that only trusted patterns explain are added. The fixed matches always stay.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from agroseries.sources.shared import saved
 
 KINDS = ("email", "ip", "card", "phone")
-UNSEEN_WEIGHT = 0.25  # of a token of unknown kind against a seed, in the mentions of a pattern
+UNSEEN_WEIGHT = 0.25  # of a token of unknown kind against a trusted one, in the mentions of a pattern
 EMAIL, IP, CARD, PHONE = range(4)
 # fixed values: the base patterns
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -93,15 +93,15 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     begins = [a for a, _ in tokens]
     word = lambda k: text[slice(*tokens[k])].lower() if 0 <= k < len(tokens) else ""
 
-    def mention(start: int, end: int, kind: int, seed: bool, first: bool) -> dict:
+    def mention(start: int, end: int, kind: int, seed: bool) -> dict:
         k = bisect.bisect_right(begins, start) - 1
         after = bisect.bisect_left(begins, end)
         contexts = [f"{word(k - 2)} {word(k - 1)} _", f"{word(k - 1)} _ {word(after)}"]
-        return {"start": start, "end": end, "kind": kind, "seed": seed, "first": first, "value": text[start:end], "contexts": contexts}
+        return {"start": start, "end": end, "kind": kind, "seed": seed, "value": text[start:end], "contexts": contexts}
 
     out, ends, last = [], [], -1
     for start, kind, end in base:
-        out.append(mention(start, end, kind, True, True))
+        out.append(mention(start, end, kind, True))
         last = max(last, end)
         ends.append(last)
     starts = [s for s, _, _ in base]
@@ -114,8 +114,8 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         k = bisect.bisect_left(starts, start + len(token)) - 1
         if k >= 0 and ends[k] > start:
             continue
-        for n, kind in enumerate(shapes(token)):
-            out.append(mention(start, start + len(token), kind, False, n == 0))
+        for kind in shapes(token):
+            out.append(mention(start, start + len(token), kind, False))
     return out
 
 
@@ -126,7 +126,6 @@ MENTION = T.StructType(
         T.StructField("end", T.LongType()),
         T.StructField("kind", T.IntegerType()),
         T.StructField("seed", T.BooleanType()),
-        T.StructField("first", T.BooleanType()),
         T.StructField("value", T.StringType()),
         T.StructField("contexts", T.ArrayType(T.StringType())),
     ]
@@ -159,7 +158,7 @@ _ARROW = pa.struct(
                 pa.struct(
                     [
                         ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("seed", pa.bool_()),
-                        ("first", pa.bool_()), ("value", pa.string()), ("contexts", pa.list_(pa.string())),
+                        ("value", pa.string()), ("contexts", pa.list_(pa.string())),
                     ]
                 )
             ),
@@ -171,23 +170,23 @@ _ARROW = pa.struct(
 def bootstrap(found: DataFrame, rounds: int, least_support: int, trusted: float) -> DataFrame:
     """(value, kind): unseen identifiers that trusted patterns lead to.
 
-    ``found``: start, kind, seed, first, value, contexts of every mention. Counts are summed per
+    ``found``: start, kind, seed, value, contexts of every mention. Counts are summed per
     (pattern, value, kind) before anything is joined, so a frequent context or value is one row per
     neighbour. Each round's scores are written.
     """
-    spread = found.select("value", "kind", "seed", "first", F.explode("contexts").alias("pattern"))
-    counts = spread.groupBy("pattern", "value", "kind").agg(
-        F.count("*").alias("n"), F.max("seed").alias("seed"), F.count_if("first").alias("mentions")
-    )
+    spread = found.select("value", "kind", "seed", F.explode("contexts").alias("pattern"))
+    counts = spread.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n"))
     edges = saved(counts, "edges")
-    weight = F.when(F.col("seed"), 1.0).otherwise(UNSEEN_WEIGHT)
-    totals = edges.groupBy("pattern").agg(F.sum(F.col("mentions") * weight).alias("total"))
-    score = edges.groupBy("value", "kind").agg(F.max("seed").alias("seed"))
+    score = found.groupBy("value", "kind").agg(F.max("seed").alias("seed"))
     score = saved(score.withColumn("score", F.col("seed").cast("double")), "scores")
     for _ in range(rounds):
-        known = edges.drop("seed").join(score, ["value", "kind"])
+        weight = F.when(F.col("score") >= trusted, 1.0).otherwise(UNSEEN_WEIGHT)
+        known = edges.join(score, ["value", "kind"]).withColumn("weight", F.col("n") * weight)
+        # a token that may be of two kinds is one mention, known if it is trusted for one of them
+        tokens = known.groupBy("pattern", "value").agg(F.max("weight").alias("weight"))
+        totals = tokens.groupBy("pattern").agg(F.sum("weight").alias("total"))
         patterns = known.groupBy("pattern", "kind").agg(
-            F.sum(F.col("n") * F.col("score")).alias("hits"), F.count_if(F.col("score") >= trusted).alias("support")
+            F.sum(F.col("weight") * F.col("score")).alias("hits"), F.count_if(F.col("score") >= trusted).alias("support")
         )
         patterns = patterns.where(F.col("support") >= least_support).join(totals, "pattern")
         trust = F.least(F.col("hits") / F.col("total"), F.lit(0.999))

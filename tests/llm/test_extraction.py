@@ -53,6 +53,17 @@ def test_mixed_contexts_are_not_trusted(spark):
     assert found.where(F.size("spans") > F.size("base")).count() == 0
 
 
+def test_trust_is_a_share_in_every_round(spark):
+    rows = [f"reach them by phone +1 (555) 010-{1000 + i} today" for i in range(30)]
+    unseen = [f"555-010-{2000 + i}" for i in range(12)]
+    rows += [f"reach them by phone {x} today" for x in unseen]  # 30 / (30 + 12 / 4) is over 0.9
+    rows += [f"kept under entry {x} since" for x in [*unseen, *(f"3300{i:05d}" for i in range(33))]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {r["text"]: len(r["spans"]) for r in pii.find(df, "text").collect()}
+    assert all(got[f"{a} {x} {b}"] == 1 for x in unseen for a, b in (("reach them by phone", "today"), ("kept under entry", "since")))
+    assert sum(got.values()) == 30 + 12 * 2
+
+
 def test_redaction_and_awkward_rows(spark):
     df = spark.createDataFrame([(1, "é a@b.cd, 1.2.3.4!"), (2, None), (3, "")], "doc_id int, text string")
     found = pii.find(df, "text").withColumn("clean", pii.redact(F.col("text"), F.col("spans")))
