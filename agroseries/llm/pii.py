@@ -1,8 +1,8 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contexts that lead to more.
 
 Every seed (e-mail, IP, card, phone) stands in a context: the two words before it, and the words on
-either side. Such contexts are lexical patterns. Other tokens that look like identifiers stand in
-contexts too. Pattern and identifier form a graph with counts; Spark scores it in rounds: a pattern
+either side. Such contexts are lexical patterns. Other tokens, or runs of number
+tokens, that look like identifiers stand in contexts too. Pattern and identifier form a graph with counts; Spark scores it in rounds: a pattern
 is trusted for a kind by the share of its mentions that are trusted instances of the kind (tokens not
 trusted for any kind so far count a quarter), an instance by the patterns that point at it. Unseen
 identifiers that only trusted patterns explain are added. The fixed matches always stay.
@@ -33,6 +33,8 @@ DIGITS = re.compile(r"[0-9]([\x20-]?[0-9])+")
 DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+PIECE = re.compile(r"[+]?[().0-9-]+")  # of a number written with blanks
+MOST_DIGITS = 19  # of a card, the longest number
 EDGES = "\"'`()[]{}<>,;:!?.=*#$%&|"
 
 
@@ -85,19 +87,57 @@ def shapes(token: str) -> list[int]:
     return [CARD] * (12 <= digits <= 19) + [PHONE] * (7 <= digits <= 15)
 
 
+def blank_shapes(value: str) -> list[int]:
+    """Kinds of a number written with blanks: the base patterns without the plus and the check digit."""
+    digits = sum(c.isdigit() for c in value)
+    card = 12 <= digits <= MOST_DIGITS and DIGITS.fullmatch(value)
+    return [CARD] * bool(card) + [PHONE] * (7 <= digits <= 15)
+
+
+def blank_runs(text: str, tokens: list[tuple[int, int]], taken: list[bool]) -> Iterator[tuple[int, int, int]]:
+    """(first token, start, end) of every number over two or more neighbouring tokens, none of them ``taken``."""
+    pieces = []
+    for (a, b), base in zip(tokens, taken, strict=True):
+        raw = text[a:b]
+        head, tail = raw.lstrip(EDGES.replace("(", "")), raw.rstrip(EDGES)
+        fits = lambda part, plus: not base and bool(PIECE.fullmatch(part)) and (plus or part[0] != "+")
+        digits = sum(c.isdigit() for c in raw)
+        pieces.append((digits, digits and fits(head, True), fits(raw, False), digits and fits(tail, False), b - len(head), a + len(tail)))
+    for i, (digits, opens, _, _, start, _) in enumerate(pieces):
+        for j in range(i + 1, min(len(pieces), i + 2 * MOST_DIGITS) if opens else 0):
+            more, _, goes_on, closes, _, end = pieces[j]
+            digits += more
+            if digits > MOST_DIGITS or text[tokens[j - 1][1] : tokens[j][0]].strip(" "):
+                break
+            if closes:
+                value = text[start:end]
+                open_, shut = value.count("("), value.count(")")
+                yield i, start + (value[0] == "(" and shut < open_), end + (text[end : end + 1] == ")" and 0 < open_ - shut)
+            if not goes_on:
+                break
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds and other identifier-like tokens with their two contexts."""
+    """Seeds and other identifier-like tokens, or numbers over several tokens, with their two contexts.
+
+    Numbers that begin at one token exclude each other, so for the words before it they are one place:
+    the longest. With the words on both sides a place is the value itself.
+    """
     if not base and not re.search("[0-9@]", text):
         return []
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
     begins = [a for a, _ in tokens]
     word = lambda k: text[slice(*tokens[k])].lower() if 0 <= k < len(tokens) else ""
 
-    def mention(start: int, end: int, kind: int, seed: bool) -> dict:
+    def mention(start: int, end: int, kind: int, seed: bool, place: str = "") -> dict:
         k = bisect.bisect_right(begins, start) - 1
         after = bisect.bisect_left(begins, end)
-        contexts = [f"{word(k - 2)} {word(k - 1)} _", f"{word(k - 1)} _ {word(after)}"]
-        return {"start": start, "end": end, "kind": kind, "seed": seed, "value": text[start:end], "contexts": contexts}
+        value = text[start:end]
+        contexts = [
+            {"pattern": f"{word(k - 2)} {word(k - 1)} _", "place": place or value},
+            {"pattern": f"{word(k - 1)} _ {word(after)}", "place": value},
+        ]
+        return {"start": start, "end": end, "kind": kind, "seed": seed, "value": value, "contexts": contexts}
 
     out, ends, last = [], [], -1
     for start, kind, end in base:
@@ -105,17 +145,27 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         last = max(last, end)
         ends.append(last)
     starts = [s for s, _, _ in base]
-    for a, b in tokens:
+
+    def covered(start: int, end: int) -> bool:
+        k = bisect.bisect_left(starts, end) - 1
+        return k >= 0 and ends[k] > start
+
+    read: dict[int, list[tuple[int, int, list[int]]]] = {}
+    for k, (a, b) in enumerate(tokens):
         raw = text[a:b]
         token = raw.strip(EDGES)
         if not token or not any(c.isdigit() or c == "@" for c in token):
             continue
         start = a + raw.index(token)
-        k = bisect.bisect_left(starts, start + len(token)) - 1
-        if k >= 0 and ends[k] > start:
-            continue
-        for kind in shapes(token):
-            out.append(mention(start, start + len(token), kind, False))
+        if not covered(start, start + len(token)) and (kinds := shapes(token)):
+            read.setdefault(k, []).append((start, start + len(token), kinds))
+    for k, start, end in blank_runs(text, tokens, [covered(a, b) for a, b in tokens]):
+        if kinds := blank_shapes(text[start:end]):
+            read.setdefault(k, []).append((start, end, kinds))
+    for _, readings in sorted(read.items()):
+        begin, stop, _ = max(readings, key=lambda r: r[1])
+        for start, end, kinds in readings:
+            out += [mention(start, end, kind, False, text[begin:stop]) for kind in kinds]
     return out
 
 
@@ -127,7 +177,9 @@ MENTION = T.StructType(
         T.StructField("kind", T.IntegerType()),
         T.StructField("seed", T.BooleanType()),
         T.StructField("value", T.StringType()),
-        T.StructField("contexts", T.ArrayType(T.StringType())),
+        T.StructField(
+            "contexts", T.ArrayType(T.StructType([T.StructField("pattern", T.StringType()), T.StructField("place", T.StringType())]))
+        ),
     ]
 )
 
@@ -158,7 +210,7 @@ _ARROW = pa.struct(
                 pa.struct(
                     [
                         ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("seed", pa.bool_()),
-                        ("value", pa.string()), ("contexts", pa.list_(pa.string())),
+                        ("value", pa.string()), ("contexts", pa.list_(pa.struct([("pattern", pa.string()), ("place", pa.string())]))),
                     ]
                 )
             ),
@@ -168,37 +220,64 @@ _ARROW = pa.struct(
 
 
 def bootstrap(found: DataFrame, rounds: int, least_support: int, trusted: float) -> DataFrame:
-    """(value, kind): unseen identifiers that trusted patterns lead to.
+    """(value, kind, score): unseen identifiers that trusted patterns lead to.
 
     ``found``: start, kind, seed, value, contexts of every mention. Counts are summed per
-    (pattern, value, kind) before anything is joined, so a frequent context or value is one row per
+    (pattern, place, value, kind) before anything is joined, so a frequent context or value is one row per
     neighbour. Each round's scores are written.
     """
-    spread = found.select("value", "kind", "seed", F.explode("contexts").alias("pattern"))
-    counts = spread.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n"))
+    spread = found.select("value", "kind", F.inline("contexts"))
+    counts = spread.groupBy("pattern", "place", "value", "kind").agg(F.count("*").alias("n"))
     edges = saved(counts, "edges")
     score = found.groupBy("value", "kind").agg(F.max("seed").alias("seed"))
     score = saved(score.withColumn("score", F.col("seed").cast("double")), "scores")
     for _ in range(rounds):
         weight = F.when(F.col("score") >= trusted, 1.0).otherwise(UNSEEN_WEIGHT)
         known = edges.join(score, ["value", "kind"]).withColumn("weight", F.col("n") * weight)
-        # a token that may be of two kinds is one mention, known if it is trusted for one of them
-        tokens = known.groupBy("pattern", "value").agg(F.max("weight").alias("weight"))
-        totals = tokens.groupBy("pattern").agg(F.sum("weight").alias("total"))
-        patterns = known.groupBy("pattern", "kind").agg(
-            F.sum(F.col("weight") * F.col("score")).alias("hits"), F.count_if(F.col("score") >= trusted).alias("support")
+        # what one place may be, of two kinds or shorter and longer, is one mention; known if one of them is trusted
+        places = known.groupBy("pattern", "place", "kind").agg(
+            F.max(F.col("weight") * F.col("score")).alias("hits"), F.max("weight").alias("weight")
         )
-        patterns = patterns.where(F.col("support") >= least_support).join(totals, "pattern")
+        totals = places.groupBy("pattern", "place").agg(F.max("weight").alias("weight"))
+        totals = totals.groupBy("pattern").agg(F.sum("weight").alias("total"))
+        support = known.where(F.col("score") >= trusted).groupBy("pattern", "kind").agg(F.count_distinct("value").alias("support"))
+        patterns = places.groupBy("pattern", "kind").agg(F.sum("hits").alias("hits"))
+        patterns = support.where(F.col("support") >= least_support).join(patterns, ["pattern", "kind"]).join(totals, "pattern")
         trust = F.least(F.col("hits") / F.col("total"), F.lit(0.999))
         patterns = patterns.select("pattern", "kind", trust.alias("trust")).where(F.col("trust") >= trusted)
-        offers = edges.join(patterns, ["pattern", "kind"]).groupBy("value", "kind").agg(
+        led = edges.join(patterns, ["pattern", "kind"]).groupBy("value", "kind", "pattern").agg(F.max("trust").alias("trust"))
+        offers = led.groupBy("value", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("offer")
         )
         updated = score.join(offers, ["value", "kind"], "left").select(
             "value", "kind", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("offer", F.lit(0.0))).alias("score")
         )
         score = saved(updated, "scores")
-    return score.where(~F.col("seed") & (F.col("score") >= trusted)).select("value", "kind")
+    return score.where(~F.col("seed") & (F.col("score") >= trusted)).select("value", "kind", "score")
+
+
+def settle(added: Column) -> Column:
+    """Of overlapping spans the one of the highest score, then the longest; one span may be of two kinds."""
+    result = T.ArrayType(SPAN)
+
+    @F.arrow_udf(result)
+    def choose(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows:
+            taken: list[tuple[int, int]] = []
+            kept = []
+            for s in sorted(row.as_py() or [], key=lambda s: (-round(s["score"], 12), s["start"] - s["end"], s["start"], s["kind"])):
+                span = (s["start"], s["end"])
+                at = bisect.bisect_left(taken, span)
+                if at == len(taken) or taken[at] != span:
+                    if (at and taken[at - 1][1] > span[0]) or (at < len(taken) and taken[at][0] < span[1]):
+                        continue
+                    taken.insert(at, span)
+                kept.append({name: s[name] for name in ("start", "kind", "end")})
+            out.append(kept)
+        return pa.array(out, type=_ARROW.field("base").type)
+
+    return choose(added)
 
 
 def find(
@@ -212,7 +291,8 @@ def find(
     """Columns ``keep`` (all by default) of every row with ``base`` and ``spans``, sorted arrays of (start, kind, end).
 
     Offsets count code points of the whole text, end exclusive; ``spans`` holds the base spans and
-    the added ones, which never overlap a base span. A pattern needs ``least_support`` trusted
+    the added ones, which never overlap a base span. Unseen numbers may be written with blanks, within
+    one line. A pattern needs ``least_support`` trusted
     values and a trusted share of its mentions. Null texts are empty; equal rows and equal or null
     ids stay rows of their own; columns named like the added ones are replaced; an empty table gives
     none.
@@ -223,8 +303,9 @@ def find(
     rows = saved(rows.select(*keep, "__llm_row", base, mentioned), "mentions")
     found = rows.select("__llm_row", F.inline("__llm_mentions"))
     new = bootstrap(found, rounds, least_support, trusted)
-    told = found.where(~F.col("seed")).join(new, ["value", "kind"]).distinct()
-    added = told.groupBy("__llm_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("__llm_added"))
+    told = found.where(~F.col("seed")).join(new, ["value", "kind"]).select("__llm_row", "start", "kind", "end", "score").distinct()
+    added = told.groupBy("__llm_row").agg(F.collect_list(F.struct("start", "kind", "end", "score")).alias("__llm_added"))
+    added = added.select("__llm_row", settle(F.col("__llm_added")).alias("__llm_added"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     both = rows.join(saved(added, "added"), "__llm_row", "left")
     spans = F.sort_array(F.concat("base", F.coalesce("__llm_added", none)))

@@ -64,6 +64,24 @@ def test_trust_is_a_share_in_every_round(spark):
     assert sum(got.values()) == 30 + 12 * 2
 
 
+def test_unseen_numbers_with_blanks_are_found_whole(spark):
+    rows = [f"Reach us by phone at +1 (555) 010-{1000 + i} during the day" for i in range(40)]
+    cards = [x for x in (f"4111 1111 1111 {i:04d}" for i in range(1000, 1100)) if pii.luhn(x.replace(" ", ""))]
+    rows += [f"It was charged to card {x} last week" for x in cards[:8]]
+    phones = ["555 010 2000", "020 7946 0958", "(555) 010-2000", "555-010-2000", "555 - 010 (2000)"]
+    rows += [f"Reach us by phone at {x} during the day" for x in phones] + ["Reach us by phone at 020 7946 0958."]
+    rows += ["It was charged to card 4111 1111 1111 1112 last week", "Reach us by phone at 555-010-2000 20240101 is a date"]
+    rows += ["in the years 2001 2002 2003 nothing was seen", "Reach us by phone at 020 7946\n0958 people"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    found = pii.find(df, "text").withColumn("clean", pii.redact(F.col("text"), F.col("spans")))
+    clean = [r["clean"] for r in found.orderBy("doc_id").collect()]
+    assert clean[:40] + clean[48:53] == ["Reach us by phone at <PHONE> during the day"] * 45
+    assert clean[53] == "Reach us by phone at <PHONE>."
+    assert clean[40:48] + clean[54:55] == ["It was charged to card <CARD> last week"] * 9
+    assert clean[55] == "Reach us by phone at <PHONE> 20240101 is a date"
+    assert clean[56] == rows[56] and "0958 people" in clean[57]
+
+
 def test_redaction_and_awkward_rows(spark):
     df = spark.createDataFrame([(1, "é a@b.cd, 1.2.3.4!"), (2, None), (3, "")], "doc_id int, text string")
     found = pii.find(df, "text").withColumn("clean", pii.redact(F.col("text"), F.col("spans")))
