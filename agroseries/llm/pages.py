@@ -182,18 +182,25 @@ def prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
+def copy_key(blocks: Column) -> Column:
+    """Equal for pages that show the same blocks outside page furniture, or are all furniture and equal."""
+    shown = lambda chosen: F.xxhash64(F.transform(chosen, lambda b: F.struct(b["path"], b["text"])))
+    content = F.filter(blocks, lambda b: ~b["furniture"])
+    return F.when(F.size(content) > 0, shown(content)).otherwise(shown(blocks))
+
+
 def low_nodes(pages: DataFrame, least: float, least_pages: int, damping: float) -> DataFrame:
     """(host, path): nodes of the style trees whose combined importance is below ``least``.
 
-    ``pages``: host, blocks, styles. Texts are counted by (host, node, text hash) before anything is
+    ``pages``: host, copy, blocks, styles. Pages of one host with the same ``copy`` count once, so that
+    the entropies measure different pages. Texts are counted by (host, node, text hash) before anything is
     gathered by node, so a host with most of the pages is spread over its texts. Nodes on fewer than
     ``least_pages`` pages are not judged, nor is a host whose root is low: its pages are copies of
     each other, and then the entropies tell nothing.
     """
-    texts = pages.select("host", F.inline("blocks")).where("first")
-    counts = texts.groupBy("host", "path", F.xxhash64("text").alias("key")).agg(
-        F.count("*").alias("n"), F.count_if("first_path").alias("pages")
-    )
+    texts = pages.select("host", "copy", F.inline("blocks")).where("first")
+    once = texts.groupBy("host", "path", F.xxhash64("text").alias("key"), "copy").agg(F.max("first_path").alias("first_path"))
+    counts = once.groupBy("host", "path", "key").agg(F.count("*").alias("n"), F.count_if("first_path").alias("pages"))
     nodes = saved(
         counts.groupBy("host", "path").agg(
             F.sum(F.log("n")).alias("logs"), F.count("*").alias("texts"), F.sum("pages").alias("pages")
@@ -206,7 +213,7 @@ def low_nodes(pages: DataFrame, least: float, least_pages: int, damping: float)
     content = branch.groupBy("host", "path").agg(
         (1 - F.sum("entropy") / F.sum("texts")).alias("content"), F.max("pages").alias("pages")
     )
-    styles = pages.select("host", F.inline("styles")).groupBy("host", "path", "style").count()
+    styles = pages.select("host", "copy", F.inline("styles")).distinct().groupBy("host", "path", "style").count()
     shown = styles.groupBy("host", "path").agg(
         F.sum("count").alias("m"), F.sum(F.col("count") * F.log("count")).alias("s"), F.count("*").alias("kinds")
     )
@@ -243,7 +250,7 @@ def main_text(
         F.struct(*keep).alias("row"), host.alias("host"), parse(F.col(html_col)).alias("page")
     ).select("row", "host", "page.*")
     pages = saved(parsed, "pages")
-    low = low_nodes(pages, least, least_pages, damping)
+    low = low_nodes(pages.withColumn("copy", copy_key(F.col("blocks"))), least, least_pages, damping)
     cuts = saved(low.groupBy("host").agg(F.collect_set("path").alias("cuts")), "cuts")
     under = lambda b, cut: (b["path"] == cut) | F.startswith(b["path"], F.concat(cut, F.lit("/")))
     cut_off = lambda b: F.coalesce(F.exists("cuts", lambda c: under(b, c)), F.lit(False))

@@ -115,6 +115,17 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert set(got.values()) == {"only text"}
 
 
+def test_copies_of_one_article_among_others_keep_their_blocks(spark):
+    page = "<body><nav>Menu</nav><div class='bar'>On all pages</div><article><h1>Title {n}</h1><p>Text {n}</p>{more}</article></body>"
+    once = "<blockquote>quoted</blockquote><table><tr><td>cell</td></tr></table><h4>small</h4>"
+    rows = [(n, f"http://d.example/{n}", page.format(n=n, more="")) for n in range(12)]
+    rows += [(n, f"http://d.example/a?from={n}", page.format(n="copied", more=once)) for n in range(100, 105)]
+    rows += [(105, "http://d.example/print", page.format(n="copied", more=once).replace("<nav>Menu</nav>", "<nav>Print</nav>"))]
+    got = texts_of(spark, rows)
+    assert [got[n] for n in range(12)] == [f"Title {n}\nText {n}" for n in range(12)]
+    assert {got[n] for n in range(100, 106)} == {"Title copied\nText copied\nquoted\ncell\nsmall"}
+
+
 def test_given_pages_give_their_article(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r["page_id"]: r["text"] for r in pages.main_text(df, "url", "html").collect()}
