@@ -7,14 +7,18 @@ one minus the mean over its texts. Presentation: the entropy of the child sequen
 shows from page to page. A branch of low combined importance is cut from every page of the host.
 
 Tags and names that stand for page furniture (navigation, footers, adverts, comments, ...) have no
-presentation importance of their own and are cut even if their texts differ from page to page.
+presentation importance of their own and are cut even if their texts differ from page to page. A
+class, id or role name and a form are weak signs: they do not cut a branch that holds the article.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,7 +41,8 @@ CLOSES = {
 }
 SCOPE = frozenset("html body article section main div table ul ol dl blockquote td th form nav header footer aside".split())
 WHOLE = frozenset("html body main article".split())  # hold the content whatever their class names
-FURNITURE_TAGS = frozenset("head nav footer aside form button select dialog menu search".split())
+FURNITURE_TAGS = frozenset("head nav footer aside button select dialog menu search".split())
+HOLDER_SHARE = 0.1  # of the page's text, in an article or main that counts as the content
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr "
     "notice notices popup modal overlay newsletter subscribe subscription menu nav navbar navigation breadcrumb breadcrumbs "
@@ -52,33 +57,86 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
-def label_of(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
-    """Node label (tag and class words without digits), and whether it names page furniture."""
+def label_of(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool]:
+    """Node label (tag and class words without digits), whether it is page furniture, and whether a name or form says so."""
     furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside)
     classes: list[str] = []
+    weak = tag == "form"
     if "=" in rest or "hidden" in rest:
         values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
         classes = sorted(re.findall(r"[a-z]+", values.get("class", "").lower()))
         named = [*classes, *re.findall(r"[a-z]+", f"{values.get('id', '')} {values.get('role', '')}".lower())]
         gone = "display:none" in values.get("style", "").replace(" ", "") or values.get("aria-hidden") == "true"
         furniture |= gone or bool(re.search(r"\shidden(\s|$|/)", rest))
-        furniture |= tag not in WHOLE and not FURNITURE_WORDS.isdisjoint(named)
-    return ".".join([tag, *classes]), furniture
+        weak |= not FURNITURE_WORDS.isdisjoint(named)
+    return ".".join([tag, *classes]), furniture, weak
+
+
+class Block(NamedTuple):
+    """A text block; ``weak`` and ``holders`` are the branches around it, outer first, by number."""
+
+    path: str
+    text: str
+    furniture: bool
+    weak: tuple[int, ...]
+    holders: tuple[int, ...]
+    heading: bool
+
+
+def cut_names(blocks: list[Block], chains: dict[int, tuple[int, ...]], named: set[int]) -> set[int]:
+    """Branches with a name of furniture, or a form, that do not hold the content of the page.
+
+    ``chains``: the weak branches around every article and main; ``named``: those of them that have
+    such a name themselves. Branches around all articles are opened from outside until one is in
+    none. In an article, or on a page without one, a branch with a h1 or most of the text is opened.
+    """
+    texts = [b for b in blocks if not b.furniture]
+    cut = {w for b in texts for w in b.weak}
+    if not cut:
+        return cut
+    size = sum(len(b.text) for b in texts)
+    held: Counter[int] = Counter()
+    for b in texts:
+        held.update(dict.fromkeys(b.holders, len(b.text)))
+    big = [h for h, n in held.items() if n >= HOLDER_SHARE * size]
+    holders = [h for h in big if h not in named] or big
+    around = {h: [w for w in chains[h] if w in cut] for h in holders}
+    while around and all(around.values()):
+        cut -= {chain[0] for chain in around.values()}
+        around = {h: [w for w in chain if w in cut] for h, chain in around.items()}
+    scopes = {h for h, chain in around.items() if not chain}
+    inside: Counter[tuple[int, int]] = Counter()  # text of a weak branch in a scope, -1 for the page
+    headed = set()
+    for b in texts:
+        for h in [h for h in b.holders if h in scopes] if scopes else [-1]:
+            for w in b.weak:
+                if h < 0 or w not in chains[h]:
+                    inside[w, h] += len(b.text)
+                    if b.heading:
+                        headed.add(w)
+    return cut - headed - {w for (w, h), n in inside.items() if 2 * n > (size if h < 0 else held[h])}
+
+
+TOP = ("", "", False, False, (), (), False)
 
 
 def read_page(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
     """Text blocks (path, text, furniture) in order, and the child sequence of every block node."""
-    blocks: list[tuple[str, str, bool]] = []
+    blocks: list[Block] = []
     children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, furniture, inside the article
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...], tuple[int, ...], bool]] = []
+    # tag, path, furniture, inside the article, weak branches, articles, in a h1
+    chains: dict[int, tuple[int, ...]] = {}
+    named: set[int] = set()
+    numbers = itertools.count()
     text: list[str] = []
 
     def end_block() -> None:
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words:
-            _, path, furniture, _ = stack[-1] if stack else ("", "", False, False)
-            blocks.append((path, words, furniture))
+            _, path, furniture, _, weak, holders, heading = stack[-1] if stack else TOP
+            blocks.append(Block(path, words, furniture, weak, holders, heading))
 
     def open_(tag: str, rest: str) -> None:
         if tag in BLOCKS:
@@ -86,16 +144,22 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
             close_implied(("p",))
         if tag in CLOSES:
             close_implied(CLOSES[tag])
-        _, above, furniture, inside = stack[-1] if stack else ("", "", False, False)
-        label, own = label_of(tag, rest, inside)
-        path = f"{above}/{label}" if tag in BLOCKS or own else above
+        _, above, furniture, inside, weak, holders, heading = stack[-1] if stack else TOP
+        label, own, name = label_of(tag, rest, inside)
+        path = f"{above}/{label}" if tag in BLOCKS or own or (name and tag not in WHOLE) else above
+        if tag in ("article", "main"):
+            holder = next(numbers)
+            holders, chains[holder] = (*holders, holder), weak
+            named.update([holder] if name else [])
+        elif name and tag not in WHOLE:
+            weak = (*weak, next(numbers))
         if path != above:
-            if own and tag not in BLOCKS:
+            if tag not in BLOCKS:
                 end_block()
             seen = children.setdefault(above, [])
             if not seen or seen[-1] != label:
                 seen.append(label)
-        stack.append((tag, path, furniture or own, inside or tag in ("article", "main")))
+        stack.append((tag, path, furniture or own, bool(holders), weak, holders, heading or tag == "h1"))
 
     def close_implied(tags: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -135,7 +199,9 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
             open_(tag, found["rest"] or found["rest2"] or "")
     text.append(page[at:])
     end_block()
-    return blocks, {path: " ".join(labels) for path, labels in children.items()}
+    cut = cut_names(blocks, chains, named)
+    read = [(b.path, b.text, b.furniture or not cut.isdisjoint(b.weak)) for b in blocks]
+    return read, {path: " ".join(labels) for path, labels in children.items()}
 
 
 BLOCK = "struct<path:string,text:string,furniture:boolean,first:boolean,first_path:boolean>"

@@ -126,6 +126,22 @@ def test_copies_of_one_article_among_others_keep_their_blocks(spark):
     assert {got[n] for n in range(100, 106)} == {"Title copied\nText copied\nquoted\ncell\nsmall"}
 
 
+def test_names_and_forms_do_not_cut_the_article():
+    body = "<h1>Title</h1><p>The first paragraph</p><p>The second one</p>"
+    said = ["Title", "The first paragraph", "The second one"]
+    left = lambda page: [text for _, text, furniture in pages.read_page(page)[0] if not furniture]
+    for name in ('div id="page" class="has-sidebar"', 'div class="post comments-open"', 'section class="no-banner"', "form action='x.aspx'"):
+        tag = name.split()[0]
+        for held in (body, f"<article>{body}</article>", f"<main>{body}</main>", f"<div class='widgets'>{body}</div>"):
+            assert left(f"<body><nav>Menu</nav><{name}>{held}</{tag}><div class='ad'>Buy</div></body>") == said, (name, held)
+        assert left(f"<article><h1>Title</h1><{name}><p>The first paragraph</p><p>The second one</p></{tag}></article>") == said
+        assert left(f"<h1>Title</h1><{name}><p>The first paragraph</p><p>The second one</p></{tag}>") == said
+    comments = "<section id='comments'><article class='comment'><p>I like this a lot, and I say so at length here</p></article></section>"
+    assert left(f"<div class='has-sidebar'><article>{body}</article>{comments}</div>") == said
+    related = "<div class='related'><article><h1>Another</h1><p>Teaser</p></article></div>"
+    assert left(f"<article>{body}<form><p>Search</p></form></article>{related}{comments}") == said
+
+
 def test_given_pages_give_their_article(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r["page_id"]: r["text"] for r in pages.main_text(df, "url", "html").collect()}
