@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroseries.llm import bpe, chat, knn, language, packing, pages, pii, quality, sharding, simhash
+from agroseries.llm import bpe, chat, knn, language, merkle, packing, pages, pii, quality, sharding, simhash
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 SHARDS = 40
@@ -236,6 +238,85 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents, verified against texts of which a third were lower-cased."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaf = merkle.digest([*fields, F.col("text")])
+    changed = F.when(tampered, merkle.digest([*fields, ascii_lower(F.col("text"))]))
+    made = merkle.manifest(docs, "doc_id", "lang", leaf, changed)
+    siblings = F.zip_with("before", "after", lambda b, a: F.concat(b, a))
+    return made.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+OP12_SQL = """
+WITH RECURSIVE
+said AS (
+  SELECT doc_id, lang, CASE WHEN doc_id IS NULL THEN '-' ELSE octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id END
+      || CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(source)) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(lang)) || ':' || lang END
+      || CASE WHEN n_chars IS NULL THEN '-' ELSE octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars END AS front,
+    CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END AS back FROM documents),
+bits(b, c) AS (
+  SELECT b, b::BIGINT FROM range(256) t(b)),
+step(k, b, c) AS (
+  SELECT 0, b, c FROM bits
+  UNION ALL SELECT k + 1, b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS crc FROM step WHERE k = 8),
+crcs AS (
+  SELECT doc_id, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, x: xor(c // 256, crc[xor(c, x) % 256 + 1]))) AS crc FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table),
+leaves AS (
+  SELECT said.doc_id, lang, sha256(front || back) AS leaf,
+    sha256(front || CASE WHEN crc % 3 = 0 THEN translate(back, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE back END) AS now
+  FROM said LEFT JOIN crcs USING (doc_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+up AS (
+  SELECT 0 AS level, lang, pos, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT level + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8 FROM up WHERE n > 1 GROUP BY level, lang, pos // 8),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+over AS (
+  SELECT 0 AS level, pos, subroot AS h, n FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8 FROM over WHERE n > 1 GROUP BY level, pos // 8),
+runs AS (SELECT level, lang, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM up WHERE n > 1 GROUP BY ALL),
+over_runs AS (SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM over WHERE n > 1 GROUP BY ALL),
+low AS (
+  SELECT 0 AS level, lang, pos AS at, pos, n, now AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT low.level + 1, low.lang, low.at, low.pos // 8, (n + 7) // 8,
+    sha256(array_to_string(hs[1:low.pos % 8], '') || h || array_to_string(hs[low.pos % 8 + 2:], '')),
+    proof || array_to_string(hs[1:low.pos % 8], '') || array_to_string(hs[low.pos % 8 + 2:], '')
+  FROM low JOIN runs ON runs.level = low.level AND runs.lang IS NOT DISTINCT FROM low.lang AND runs.run = low.pos // 8 WHERE n > 1),
+high AS (
+  SELECT 0 AS level, low.lang, low.at, subs.pos, subs.n, low.h, low.proof, subs.subroot
+  FROM low JOIN subs ON subs.lang IS NOT DISTINCT FROM low.lang WHERE low.n = 1
+  UNION ALL
+  SELECT high.level + 1, high.lang, high.at, high.pos // 8, (n + 7) // 8,
+    sha256(array_to_string(hs[1:high.pos % 8], '') || h || array_to_string(hs[high.pos % 8 + 2:], '')),
+    proof || array_to_string(hs[1:high.pos % 8], '') || array_to_string(hs[high.pos % 8 + 2:], ''), subroot
+  FROM high JOIN over_runs ON over_runs.level = high.level AND over_runs.run = high.pos // 8 WHERE n > 1)
+SELECT placed.doc_id, placed.leaf, high.subroot, over.h AS root, sha256(high.proof) AS proof_sha256,
+  high.h AS folded_root, high.h = over.h AS verified
+FROM placed JOIN high ON high.n = 1 AND high.lang IS NOT DISTINCT FROM placed.lang AND high.at = placed.pos JOIN over ON over.n = 1
+"""
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_sharding": op2_sharding,
@@ -247,6 +328,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_pii": op9_pii,
     "op10_pages": op10_pages,
+    "op12_merkle": op12_merkle,
 }
 
-SQL = {"op1_chat": OP1_SQL, "op6_quality": OP6_SQL, "op8_topk": OP8_SQL}
+SQL = {"op1_chat": OP1_SQL, "op6_quality": OP6_SQL, "op8_topk": OP8_SQL, "op12_merkle": OP12_SQL}
