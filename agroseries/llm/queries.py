@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroseries.llm import bpe, chat, knn, language, merkle, packing, pages, pii, quality, sharding, simhash
+from agroseries.llm import bpe, chat, collocation, hyperminhash, knn, language, merkle, packing, pages, pii, quality, sharding, simhash
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 SHARDS = 40
@@ -242,6 +242,39 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ascii_uppercase, ascii_lowercase)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two or three words per language."""
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocation.collocations(docs, "lang", "text", threshold=10, share=50, top=2000)
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+runs AS (
+  SELECT lang, unnest(w) AS phrase, 1 AS k FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM words),
+f AS (SELECT lang, phrase, k, count(*)::HUGEINT AS f, string_split(phrase, ' ') AS w FROM runs GROUP BY lang, phrase, k),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.w, c.f AS a, l.f AS l, r.f AS r, t.cut, 1000000 * c.f * c.f // (l.f * r.f) AS score
+  FROM f c, range(1, 3) t(cut), f l, f r
+  WHERE c.k >= 2 AND c.f >= 10 AND t.cut < c.k AND l.lang = c.lang AND l.phrase = array_to_string(c.w[1:t.cut], ' ')
+    AND r.lang = c.lang AND r.phrase = array_to_string(c.w[t.cut + 1:], ' ')),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM worst WHERE k = 3) GROUP BY lang, phrase),
+free AS (SELECT worst.* FROM worst LEFT JOIN inside USING (lang, phrase) WHERE worst.k = 3 OR longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM free JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of all documents, verified against texts of which a third were lower-cased."""
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -317,6 +350,35 @@ FROM placed JOIN high ON high.n = 1 AND high.lang IS NOT DISTINCT FROM placed.la
 """
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by 4-word shingles at a similarity of 0.8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = hyperminhash.near_duplicates(docs, "doc_id", "text", width=4, percent=80)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+classes AS (SELECT min(doc_id) AS a, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+class_items AS (SELECT a, n, unnest(s) AS item FROM classes),
+pairs AS (
+  SELECT x.a, y.a AS b FROM class_items x JOIN class_items y ON x.item = y.item AND x.a < y.a AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80
+  GROUP BY x.a, y.a, x.n, y.n HAVING count(*) * 100 >= (x.n + y.n - count(*)) * 80),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT a, a AS b FROM classes UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+least_of AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN classes USING (s) LEFT JOIN least_of USING (a)
+"""
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_sharding": op2_sharding,
@@ -328,7 +390,16 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_pii": op9_pii,
     "op10_pages": op10_pages,
+    "op11_collocations": op11_collocations,
     "op12_merkle": op12_merkle,
+    "op13_minhash": op13_minhash,
 }
 
-SQL = {"op1_chat": OP1_SQL, "op6_quality": OP6_SQL, "op8_topk": OP8_SQL, "op12_merkle": OP12_SQL}
+SQL = {
+    "op1_chat": OP1_SQL,
+    "op6_quality": OP6_SQL,
+    "op8_topk": OP8_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_merkle": OP12_SQL,
+    "op13_minhash": OP13_SQL,
+}
