@@ -1,21 +1,23 @@
 """HyperMinHash near-duplicates of documents, by the Jaccard similarity of their word shingles.
 
-The 64-bit hashes of a document's shingles fall into 128 buckets by their top bits. Of the least hash
+The 64-bit hashes of a document's shingles fall into 288 buckets, equal ranges of the hash. Of the least hash
 in a bucket a register keeps the number of leading zeros and the ten bits after the first one
 (Yu and Weber, "HyperMinHash: MinHash in LogLog space"), two bytes in all. Empty registers are filled,
 for banding only, from a bucket that is not empty, in an order fixed per bucket (optimal
-densification), so small sets band as large ones do. Four registers make a band: a pair at similarity
-0.8 misses all 32 bands with a probability of 5e-8.
+densification), so small sets band as large ones do. Six registers make a band: a pair at similarity
+0.8 misses all 48 bands with a probability of 5e-7.
 
 Documents with equal sets are folded into one class first. A band key that several classes share is
 a group, and groups are searched in two rounds, neither of which pairs up the members of a near-copy group:
 
-- every member is compared with the least class of its group;
+- every member is compared with LEADERS leaders of its group, the same ones in most bands;
 - what that linked is a component; only members of *different* components of a group are compared
-  with each other, since a link inside one would tell nothing new.
+  with each other, since a link inside one would tell nothing new. The join condition counts how many of
+  the filled registers differ in four of their bits, so unlike pairs do not leave the join.
 
 A pair must fit by its set sizes, then by the similarity that its registers estimate, corrected for
-registers that agree by accident; the intersection of the full sets then decides. Full sets are
+registers that agree by accident; the intersection of the full sets then decides. Both estimates
+let a pair of exactly the similarity asked for pass at SIGMAS standard deviations. Full sets are
 64-bit shingle hashes, made again from the texts of the classes in question only.
 """
 
@@ -33,10 +35,10 @@ from pyspark.sql import functions as F
 from agroseries.llm.components import components
 from agroseries.sources.shared import saved
 
-BUCKET_BITS, MANTISSA, PER_BAND = 7, 10, 4
-BUCKETS = 1 << BUCKET_BITS
-REST = 64 - BUCKET_BITS
-SIGMAS = 6
+BUCKETS, PER_BAND, MANTISSA = 288, 6, 10
+SIGNED = BUCKETS * 4 // 64  # longs that hold four bits of each register
+LEADERS, SIGMAS = 4, 5
+_BOUNDS = np.array([(k << 64) // BUCKETS for k in range(BUCKETS)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: In which order a bucket looks for a register when its own is empty.
 _BORROW = np.argsort(np.random.default_rng(7).random((BUCKETS, BUCKETS)), axis=1)
@@ -67,50 +69,85 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
 
 def registers_of(hashes: np.ndarray) -> np.ndarray:
     """A register per bucket: leading zeros and mantissa of its least hash plus one, or 0 if empty."""
-    bounds = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(REST)
-    first = np.searchsorted(hashes, bounds)
+    first = np.searchsorted(hashes, _BOUNDS)
     full = np.diff(np.r_[first, len(hashes)]) > 0
-    least = hashes[first[full]] & np.uint64((1 << REST) - 1)
-    low = least < 1 << 52  # a double holds 53 bits exactly
-    digits = np.frexp(np.where(low, least, least >> np.uint64(5)).astype(np.float64))[1] + np.where(low, 0, 5)
-    zeros = (REST - digits).astype(np.uint64)
-    after = ((least << zeros) << np.uint64(1)) & np.uint64((1 << REST) - 1)
+    least = hashes[first[full]] - _BOUNDS[full]
+    low = least < 1 << 53  # a double holds 53 bits exactly
+    digits = np.frexp(np.where(low, least, least >> np.uint64(11)).astype(np.float64))[1] + np.where(low, 0, 11)
+    zeros = np.minimum(64 - digits, 63).astype(np.uint64)
+    after = (least << zeros) << np.uint64(1)
     out = np.zeros(BUCKETS, np.uint16)
-    out[full] = ((zeros << np.uint64(MANTISSA)) | (after >> np.uint64(REST - MANTISSA))) + np.uint64(1)
+    out[full] = ((zeros << np.uint64(MANTISSA)) | (after >> np.uint64(64 - MANTISSA))) + np.uint64(1)
     return out
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A 64-bit key per band of PER_BAND registers, empty ones filled."""
+def filled(registers: np.ndarray) -> np.ndarray:
+    """Every empty register replaced by the first one in its order that is not empty, if any."""
     full = registers != 0
-    source = np.where(full, np.arange(BUCKETS), _BORROW[np.arange(BUCKETS), np.argmax(full[_BORROW], axis=1)])
-    bands = registers[source].astype(np.uint64).reshape(-1, PER_BAND)
+    out, empty = registers.copy(), np.flatnonzero(~full)
+    order = _BORROW[empty]
+    out[empty] = registers[order[np.arange(len(empty)), np.argmax(full[order], axis=1)]]
+    return out
+
+
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """A 64-bit key per band of PER_BAND filled registers."""
+    bands = registers.astype(np.uint64).reshape(-1, PER_BAND)
     keys = _mixed(np.arange(1, len(bands) + 1, dtype=np.uint64))
     for k in range(PER_BAND):
         keys = _mixed(keys + bands[:, k])
     return keys.view(np.int64)
 
 
+def signature(registers: np.ndarray) -> np.ndarray:
+    """Four bits of every filled register, packed into longs."""
+    bits = (_mixed(registers.astype(np.uint64)) >> np.uint64(60)).astype(np.uint8)
+    return (bits[::2] << np.uint8(4) | bits[1::2]).view(np.int64)
+
+
 def _sketched(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, key, n, digest, registers, bands): all that is kept of a row; ``key`` tells its text."""
+    """(id, key, n, digest, registers): all that is kept of a row; ``key`` tells its text."""
     text = F.col(text_col)
     rows = df.select(F.col(id_col).alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("key"), text.cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], []]
             for text in batch.column("text"):
                 hashes = shingles(text.as_py(), width)
-                registers = registers_of(hashes)
-                made = (len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), registers.tobytes(), band_keys(registers) if len(hashes) else [])
+                made = (len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), registers_of(hashes).tobytes())
                 for column, value in zip(columns, made, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *arrays], names=["id", "key", "n", "digest", "registers", "bands"])
+            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *arrays], names=["id", "key", "n", "digest", "registers"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, key string, n bigint, digest binary, registers binary, bands array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, key string, n bigint, digest binary, registers binary")
+
+
+def _banded() -> Column:
+    """bands and signature of registers that are not all empty."""
+
+    @F.pandas_udf("bands array<bigint>, signed array<bigint>")
+    def banded(registers: pd.Series) -> pd.DataFrame:
+        full = [filled(np.frombuffer(r, np.uint16)) for r in registers]
+        return pd.DataFrame({"bands": [band_keys(f) for f in full], "signed": [signature(f) for f in full]})
+
+    return banded("registers")
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether so few registers differ in their four bits as a similar enough pair may have."""
+    apart, ones = 1 - percent / 100, F.lit(0x1111111111111111)
+    rate = apart * 15 / 16  # unlike registers still agree in four bits now and then
+    most = int(BUCKETS * rate + SIGMAS * (BUCKETS * rate * (1 - rate)) ** 0.5) + 1
+    differing = F.lit(0)
+    for k in range(SIGNED):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        for step in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        differing += F.bit_count(x.bitwiseAND(ones))
+    return differing <= most
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -134,8 +171,11 @@ def _likely(percent: int) -> Column:
         if not len(a):
             return pd.Series([], dtype=bool)
         one, two = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, BUCKETS) for x in (a, b))
-        agreeing, used = estimate(one, two, n.to_numpy(np.float64), m.to_numpy(np.float64))
-        return pd.Series(agreeing >= least * used - SIGMAS * np.sqrt(used * least * (1 - least)) - 1)
+        n, m = n.to_numpy(np.float64), m.to_numpy(np.float64)
+        agreeing, used = estimate(one, two, n, m)
+        union = np.maximum((n + m) / (1 + least), used + 1)
+        spread = np.sqrt(used * least * (1 - least) * (union - used) / (union - 1))  # draws without replacement
+        return pd.Series(agreeing >= least * used - SIGMAS * spread - 2)
 
     return likely("registers_a", "registers_b", "n_a", "n_b")
 
@@ -182,12 +222,15 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 4, p
     rows = saved(_sketched(df, id_col, text_col, width), "sketches")
     ids = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     folded = rows.where("n > 0").groupBy("digest").agg(
-        F.min(ids).alias("least"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "registers", "bands")]
+        F.min(ids).alias("least"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "registers")]
     )
-    classes = saved(folded.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    classes = folded.withColumn("made", _banded()).select("*", "made.*").drop("made")
+    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    keyed = classes.select("cls", "n", F.explode("bands").alias("band"))
-    groups = keyed.groupBy("band").agg(F.min("cls").alias("leader"), F.count("*").alias("size"))
+    keyed = classes.select("cls", F.explode("bands").alias("band"))
+    lot = F.pmod(F.xxhash64("cls"), F.lit(LEADERS))
+    leaders = F.array(*[F.min(F.when(lot == k, F.col("cls"))) for k in range(LEADERS)])
+    groups = keyed.groupBy("band").agg(leaders.alias("leaders"), F.count("*").alias("size"))
     shared = saved(keyed.join(groups.where("size > 1").drop("size"), "band"), "shared")
 
     wanted = shared.select("cls").distinct().join(classes.select("cls", "key"), "cls")
@@ -195,17 +238,20 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 4, p
     texts = texts.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"))
     sets = saved(wanted.join(texts, "key").select("cls", _set_of(F.col("text"), width).alias("set")), "sets")
 
-    stars = shared.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
+    stars = shared.select(F.explode("leaders").alias("leader"), "cls").where("cls <> leader")
+    stars = stars.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
     links = _confirmed(stars, classes, sets, percent)
     label = components(links, "a", "b").withColumnRenamed("node", "cls")
-    known = shared.join(label, "cls", "left").select("band", "cls", "n", F.coalesce("label", "cls").alias("label"))
+    known = shared.join(label, "cls", "left").select("band", "cls", F.coalesce("label", "cls").alias("label"))
     known = saved(known, "labelled")
     mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    open_ = saved(known.join(mixed.select("band"), "band", "left_semi"), "open")
-    one = open_.select("band", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    two = open_.select("band", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    open_ = known.join(mixed.select("band"), "band", "left_semi").join(classes.select("cls", "n", "signed"), "cls")
+    open_ = saved(open_, "open")
+    side = lambda of: open_.select("band", F.col("cls").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in ("n", "label", "signed")])
+    one, two = side("a"), side("b")
     apart = (one["band"] == two["band"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
-    across = one.join(two, apart & _fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+    fitting = _fits(F.col("n_a"), F.col("n_b"), percent) & _alike("signed_a", "signed_b", percent)
+    across = one.join(two, apart & fitting).select("a", "b").distinct()
     links = links.unionByName(_confirmed(across, classes, sets, percent))
 
     label = components(links, "a", "b").withColumnRenamed("node", "cls")

@@ -89,17 +89,32 @@ def test_every_band_length_finds_pairs_at_the_limit():
             common, rest = union[:size], union[size:]
             half = len(rest) // 2
             a, b = (np.unique(np.r_[common, part]) for part in (rest[:half], rest[half:]))
-            keys = [hyperminhash.band_keys(hyperminhash.registers_of(x)) for x in (a, b)]
+            full = [hyperminhash.filled(hyperminhash.registers_of(x)) for x in (a, b)]
+            keys = [hyperminhash.band_keys(f) for f in full]
             assert (keys[0] == keys[1]).any()
 
 
 def test_registers_hold_zeros_and_mantissa():
-    rest = 64 - 7
-    hashes = np.array([5, (1 << rest) + (1 << (rest - 1)), (2 << rest) + (3 << (rest - 3)), 3 << rest], np.uint64)
-    got = hyperminhash.registers_of(np.sort(hashes)).astype(int) - 1
-    assert got[0] == ((rest - 3) << 10 | 0b0100000000)  # 101: the bits after the first one
-    assert got[1] == 0 and got[2] == (1 << 10 | 0b1000000000)
-    assert got[3] == rest << 10 and (got[4:] == -1).all()
+    first = [int(x) for x in hyperminhash._BOUNDS[:5]]
+    hashes = np.array([5, first[1] + (1 << 55), first[2] + (3 << 53), first[3], first[4] + (1 << 55) + 1], np.uint64)
+    got = hyperminhash.registers_of(hashes).astype(int) - 1
+    assert got[0] == 61 << 10 | 0b0100000000  # 101: the bits after the first one
+    assert got[1] == got[4] == 8 << 10 and got[2] == (9 << 10 | 0b1000000000)
+    assert got[3] == 63 << 10 and (got[5:] == -1).all()
+
+
+def test_signatures_differ_where_registers_do(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(1, 1 << 16, hyperminhash.BUCKETS).astype(np.uint16)
+    for n in (0, 40, 80, 120, 288):
+        b = a.copy()
+        b[:n] = rng.integers(1, 1 << 16, n)
+        both = [hyperminhash.signature(x) for x in (a, b)]
+        nibbles = [[v >> s & 15 for v in x.tolist() for s in range(0, 64, 4)] for x in both]
+        differing = sum(x != y for x, y in zip(*nibbles))
+        df = spark.createDataFrame([(both[0].tolist(), both[1].tolist())], "a array<bigint>, b array<bigint>")
+        assert df.select(hyperminhash._alike("a", "b", 80)).first()[0] == (differing <= 88)
+        assert n * 0.8 < differing <= n if n else differing == 0
 
 
 def test_estimate_is_corrected_for_accidental_agreement():
@@ -147,4 +162,4 @@ def test_a_hot_group_makes_no_pairs_inside(spark):
         assert got.select(F.countDistinct("component_id")).first()[0] == 1
     finally:
         hyperminhash._confirmed = confirmed
-    assert seen[0] < 32 * 300 and seen[1] == 0
+    assert seen[0] < 40 * 300 and seen[1] == 0
