@@ -25,7 +25,6 @@ from agroseries.sources.shared import saved
 Blocks = Mapping[str, Column] | None
 
 SEED = "_scan_seed"
-EXACT = "decimal(38,12)"
 
 
 class Carry(NamedTuple):
@@ -43,15 +42,6 @@ def carry_sum(value: Column) -> Carry:
     return Carry(value, F.sum, F.sum)
 
 
-def exact(df: DataFrame, value: Column) -> tuple[Column, bool]:
-    """``value`` as a type whose sums do not depend on how a series is cut, and if it was converted.
-
-    Floating-point values become DECIMAL with 12 decimals; NaN and infinite values count as missing.
-    """
-    floating = df.select(value.alias("v")).schema["v"].dataType.typeName() in ("double", "float")
-    return (value.try_cast(EXACT), True) if floating else (value, False)
-
-
 def carry_min(value: Column) -> Carry:
     return Carry(value, F.min, F.min)
 
@@ -133,3 +123,45 @@ def even_blocks(
     """
     ranged = df.repartitionByRange(partitions, *by, *order)
     return saved(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
+
+
+def summaries_before(
+    totals: DataFrame, series: str, blocks: Sequence[str], rows: str, amount: str, least: str
+) -> DataFrame:
+    """What came before each block: (series, blocks, ``rows``, ``amount``, ``least``), all earlier blocks.
+
+    ``totals`` has a row per block: its number of rows, the sum of its amounts, and the least value of
+    amount minus position inside it. Such summaries add up: of two blocks in a row the later one's least value
+    moves by the amount and the rows of the earlier one. Nested blocks (coarse first) are summed up
+    and scanned level by level, so no window holds more than the blocks of one coarse block. ``series``
+    is a struct, which joins with NULLs inside.
+    """
+    *coarse, finest = blocks
+    group = Window.partitionBy(series, *coarse).orderBy(finest)
+    earlier = group.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    before = totals.withColumns(
+        {
+            "_before_rows": F.coalesce(F.sum(rows).over(earlier), none),
+            "_before_sum": F.coalesce(F.sum(amount).over(earlier), none),
+        }
+    )
+    moved = F.col("_before_sum") - F.col("_before_rows") + F.col(least)
+    before = before.withColumn("_before_moved", moved).withColumn("_before_least", F.min("_before_moved").over(earlier))
+    key = F.struct(series, *coarse)
+    if coarse:
+        sums = [F.sum(rows).alias(rows), F.sum(amount).alias(amount), F.min("_before_moved").alias(least)]
+        above = summaries_before(before.groupBy(series, *coarse).agg(*sums), series, coarse, rows, amount, least)
+        above = above.select(key.alias("_before_key"), *[F.col(n).alias(f"_above_{n}") for n in (rows, amount, least)])
+        before = before.withColumn("_before_key", key).join(above, "_before_key")
+        over = {n: F.col(f"_above_{n}") for n in (rows, amount, least)}
+        inside = over[amount] - over[rows] + F.col("_before_least")
+        before = before.withColumns(
+            {
+                "_before_least": F.least(over[least], inside),
+                "_before_rows": over[rows] + F.col("_before_rows"),
+                "_before_sum": over[amount] + F.col("_before_sum"),
+            }
+        )
+    renamed = {"_before_rows": rows, "_before_sum": amount, "_before_least": least}
+    return before.select(series, *blocks, *[F.col(n).alias(out) for n, out in renamed.items()])

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from agroseries.functions import columns as c
 from agroseries.functions import constants as k
+from agroseries.functions import exact as limbs
 from agroseries.operators.ordered import (
     Blocks,
     Carry,
     carry_count,
     carry_last,
-    carry_min,
     carry_sum,
-    exact,
     scan,
+    summaries_before,
 )
 
 INCREMENT = "decimal(18,9)"
@@ -44,16 +44,26 @@ def running_sum(
 ) -> DataFrame:
     """Cumulative sums; ``sums`` maps output names to inputs.
 
-    ``index`` also numbers the rows, in the same scan. Floating-point inputs are summed exactly (see
-    ``ordered.exact``) and come back as DOUBLE, so the blocks do not show in the result.
+    ``index`` also numbers the rows, in the same scan. Floating-point inputs are summed exactly and
+    rounded once (see ``functions.exact``), so the blocks do not show in the result and no value is
+    too large or too small beside the others; NaN and infinite values count as missing.
     """
-    inputs = {out: exact(df, c.as_column(source)) for out, source in sums.items()}
-    carries = {out: carry_sum(value) for out, (value, _) in inputs.items()}
+    carries, rounded, work = {}, {}, df
+    for out, source in sums.items():
+        value = c.as_column(source)
+        if df.select(value.alias("v")).schema["v"].dataType.typeName() in ("double", "float"):
+            rounded[out] = [f"_{out}_limb_{k}" for k in range(limbs.COUNT)]
+            work = limbs.split(work, value.cast("double"), rounded[out])
+            carries.update({n: carry_sum(F.col(n)) for n in rounded[out]})
+        else:
+            carries[out] = carry_sum(value)
     if index:
         carries[index] = carry_count()
-    summed = scan(df, by, order, carries, blocks)
-    converted = {out: F.col(out).cast("double") for out, (_, floating) in inputs.items() if floating}
-    return summed.withColumns(converted) if converted else summed
+    summed = scan(work, by, order, carries, blocks)
+    for out, names in rounded.items():
+        summed = limbs.rounded(summed, names, out)
+    made = [out for out in [*sums, *([index] if index else [])] if out not in df.columns]
+    return summed.select(*df.columns, *made)
 
 
 def cumulative_demand(
@@ -170,20 +180,35 @@ def emission_counter(
 
     Increments accumulate (a negative one is an error); a step that finds one unit or more takes one unit off and
     emits. The count starts at 1. A step cannot emit more than what has arrived since any earlier
-    step plus one per step after it, so the count is a running minimum over the series and needs no
-    row-by-row state: two scans, one for the position and the accumulated amount, one for the
-    minimum.
+    step plus one per step after it, so the count needs no row-by-row state: with the lead of a step,
+    the accumulated amount less the number of steps, it is one plus the steps plus the whole part of the least
+    lead so far, if that is negative.
+
+    With blocks, each is scanned on its own and summarised by its steps, its amount and its least
+    lead; the summaries of earlier blocks then move the leads of a block by one amount. So the rows
+    are shuffled once for the summaries (key, order and increment) and once for the result.
     """
     amount = c.as_column(increment).cast(INCREMENT)
     amount = F.when(amount < 0, F.raise_error(F.lit("negative emission increment"))).otherwise(amount)
-    carries = {"_step": carry_count(), "_amount": carry_sum(amount)}
-    first = scan(df, by, order, carries, blocks, keep_blocks=True)
-
-    behind = F.floor("_amount").cast("bigint") - F.col("_step")
-    same_blocks = {name: F.col(name) for name in blocks or {}}
-    second = scan(first, by, ["_step"], {"_behind": carry_min(behind)}, same_blocks)
-    count = 1 + F.col("_step") + F.least(F.lit(0), F.col("_behind"))
-    return second.withColumn(out, count).select(*df.columns, out)
+    series, cell = F.struct(*by) if by else F.struct(F.lit(0)), dict(blocks or {})
+    work = df.withColumns({**cell, "_emit_amount": amount, "_emit_series": series})
+    work = work.withColumn("_emit_cell", F.struct("_emit_series", *cell))
+    scanned = Window.partitionBy("_emit_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = work.withColumns({"_emit_steps": F.count(F.lit(1)).over(scanned), "_emit_sum": F.sum("_emit_amount").over(scanned)})
+    local = local.withColumn("_emit_lead", F.coalesce("_emit_sum", F.lit(0)) - F.col("_emit_steps"))
+    local = local.withColumn("_emit_least", F.min("_emit_lead").over(scanned))
+    step, least = F.col("_emit_steps"), F.col("_emit_least")
+    if cell:
+        summary = local.groupBy("_emit_cell").agg(
+            F.max("_emit_steps").alias("_emit_n"), F.coalesce(F.sum("_emit_amount"), F.lit(0)).alias("_emit_total"), F.min("_emit_lead").alias("_emit_low")
+        )
+        before = summaries_before(summary.select("_emit_cell.*", "_emit_n", "_emit_total", "_emit_low"), "_emit_series", list(cell), "_emit_n", "_emit_total", "_emit_low")
+        before = before.select(F.struct("_emit_series", *cell).alias("_emit_cell"), "_emit_n", "_emit_total", "_emit_low")
+        local = local.join(before, "_emit_cell")
+        step = F.col("_emit_n") + step
+        least = F.least(F.col("_emit_low"), F.col("_emit_total") - F.col("_emit_n") + least)
+    behind = F.floor(least).cast("bigint")
+    return local.withColumn(out, 1 + step + F.least(F.lit(0), behind)).select(*df.columns, out)
 
 
 def emission_sweep(
