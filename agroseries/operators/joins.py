@@ -39,20 +39,23 @@ def join_complete(
 
 
 def common_period(
-    df: DataFrame, by: Sequence[str] = ("Site",), date: str = "date"
+    df: DataFrame, by: Sequence[str] = ("Site",), date: str = "date", raw: str | None = None
 ) -> DataFrame:
     """Rows within the period that all series cover.
 
     The bounds are scalar subqueries: two partial aggregations down to one row, evaluated once and
-    used as plain values in the scan filter.
+    used as plain values in the scan filter. Where ``date`` is made from a timestamp column, name that one
+    as ``raw``: the bounds then also hold for it directly, so that the scan can skip row groups.
     """
     series = df.groupBy(*by).agg(F.min(date).alias("_from"), F.max(date).alias("_to"))
     bounds = series.agg(F.max("_from").alias("start_date"), F.min("_to").alias("end_date"))
-    return df.where(
-        F.col(date).between(
-            bounds.select("start_date").scalar(), bounds.select("end_date").scalar()
-        )
-    )
+    start, end = (bounds.select(n).scalar() for n in ("start_date", "end_date"))
+    within = F.col(date).between(start, end)
+    if raw:
+        kind = df.schema[raw].dataType
+        until = bounds.select(F.date_add(F.col("end_date").cast("date"), 1).cast(kind)).scalar()
+        within &= (F.col(raw) >= bounds.select(F.col("start_date").cast(kind)).scalar()) & (F.col(raw) < until)
+    return df.where(within)
 
 
 def two_points(

@@ -217,31 +217,43 @@ def inflorescence_state(
 
 
 def propagate_harvest(
-    pruned: DataFrame,
+    pruned: DataFrame | str,
     edges: DataFrame,
     node: str = "node",
     sexes: Sequence[str] = ("Female", "Male"),
 ) -> DataFrame:
     """Nodes that become ``Harvested`` because a leaf was pruned.
 
-    ``edges`` holds (node, parent, symbol). A pruned leaf harvests its phytomer, two edges up, and
-    the inflorescence beside it on the internode when there is exactly one.
+    ``edges`` holds (node, parent, symbol) of a tree; an edge given twice counts once. A pruned leaf
+    harvests its phytomer, two edges up, and the inflorescence beside it on the internode when there is
+    exactly one. ``pruned`` is a table of leaves, or the name of a boolean column of ``edges`` that marks them, which
+    spares a second read. A leaf without a parent harvests nothing.
+
+    There is no join: marks meet edges in one grouping by node, and each edge then reports twice in one
+    grouping by internode, to its parent (marks and inflorescences) and to its own node (what lies above).
     """
-    marks = pruned.select(F.col(node).alias("_leaf")).distinct().withColumn("_pruned", F.lit(True))
-    organs = edges.join(marks, edges["node"] == F.col("_leaf"), "left")
-    flowers = F.col("symbol").isin(*sexes)
-    internodes = (
-        organs.groupBy(F.col("parent").alias("internode"))
-        .agg(
-            F.max("_pruned").alias("_pruned"),
-            F.count_if(flowers).alias("_n"),
-            F.min(F.when(flowers, F.col("node"))).alias("_flower"),
-        )
-        .where("_pruned")
-    )
-    above = edges.select(F.col("node").alias("internode"), F.col("parent").alias("_phytomer"))
-    beside = F.when(F.col("_n") == 1, F.col("_flower"))
-    reached = internodes.join(above, "internode", "left").select(
-        F.explode(F.array("_phytomer", beside)).alias("node")
+    edge = F.struct("parent", "symbol")
+    if isinstance(pruned, str):
+        tagged = edges.select("node", edge.alias("edge"), F.col(pruned).alias("mark"))
+    else:
+        marks = pruned.select(F.col(node).alias("node"), F.lit(None).alias("edge"), F.lit(True).alias("mark"))
+        tagged = edges.select("node", edge.alias("edge"), F.lit(False).alias("mark"))
+        tagged = tagged.unionByName(marks.where(F.col("node").isNotNull()))
+    nodes = tagged.groupBy("node").agg(F.max("mark").alias("mark"), F.collect_set("edge").alias("edges"))
+    known = nodes.select("node", "mark", F.inline("edges"))
+    flower = F.when(F.col("symbol").isin(*sexes), F.col("node"))
+    kind = edges.schema["node"].dataType
+    own, parent, none = F.col("node"), F.col("parent").cast(kind), F.lit(None).cast(kind)
+    unmarked = F.lit(None).cast("boolean")
+    to_parent = F.struct(parent.alias("internode"), "mark", flower.alias("flower"), none.alias("above"))
+    to_itself = F.struct(own.alias("internode"), unmarked.alias("mark"), none.alias("flower"), parent.alias("above"))
+    reports = known.select(F.inline(F.array(to_parent, to_itself))).where(F.col("internode").isNotNull())
+    internodes = reports.groupBy("internode").agg(
+        F.max("mark").alias("mark"),
+        F.count("flower").alias("n"),
+        F.min("flower").alias("flower"),
+        F.collect_set("above").alias("above"),
     )
+    beside = F.when(F.col("n") == 1, F.col("flower"))
+    reached = internodes.where("mark").select(F.explode(F.array_append("above", beside)).alias("node"))
     return reached.where(F.col("node").isNotNull()).distinct().withColumn("state", F.lit(k.HARVESTED))

@@ -388,3 +388,48 @@ def test_tables_equal(spark):
     right = spark.createDataFrame([("a", 2), ("b", None), ("c", 3)], "k string, n int")
     # a differs, the NULL key and c have no partner
     assert verdict(checks.check_tables_equal(left, right, ["k"])) == (False, 3)
+
+
+def test_tables_equal_compares_repeated_keys_as_multisets(spark):
+    """A key with 10,000 rows costs no more than its rows, and one changed row is seen."""
+    left = spark.range(10_000).select(F.lit("hot").alias("k"), (F.col("id") % 7).alias("n"), F.lit(None).cast("int").alias("m"))
+    assert verdict(checks.check_tables_equal(left, left.orderBy(F.rand(3)), ["k"])) == (True, 0)
+    changed = left.withColumn("n", F.when(F.col("n") == 3, 4).when(F.col("n") == 4, 3).otherwise(F.col("n")))
+    assert verdict(checks.check_tables_equal(left, changed, ["k"])) == (False, 1)
+    other = left.limit(9_999).unionByName(spark.createDataFrame([("hot", None, 2)], "k string, n long, m int"))
+    assert verdict(checks.check_tables_equal(left, other, ["k"])) == (False, 1)
+    swapped = left.select("k", F.col("m").cast("long").alias("n"), F.col("n").cast("int").alias("m"))
+    assert verdict(checks.check_tables_equal(left, swapped, ["k"])) == (False, 1)
+
+
+def test_tables_equal_has_no_join_of_rows(spark):
+    left = spark.range(10).select("id", F.lit(0.0).alias("x"))
+    right = left.withColumn("x", F.lit(-0.0))
+    compared = checks.check_tables_equal(left, right, ["id"])
+    assert verdict(compared) == (True, 0)
+    plan = compared._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("Join LeftSemi") > 0  # with the buckets that differ only
+
+
+def test_window_end(spark):
+    df = spark.createDataFrame([(6, None), (None, D(2020, 1, 1)), (None, None)], "window_duration int, end_date date")
+    assert verdict(checks.check_window_end(df)) == (False, 1)
+    assert verdict(checks.check_window_end(df.limit(0))) == (True, 0)
+
+
+def test_common_period_skips_row_groups(spark, tmp_path):
+    """The bounds reach the scan of the raw timestamps, which then reads a part of a sorted file."""
+    day = lambda c: F.timestamp_seconds(F.col(c) * 86400 + 3600)
+    wide = spark.range(4000).select(F.lit("a").alias("Site"), day("id").alias("at"))
+    narrow = spark.range(1900, 2100).select(F.lit("b").alias("Site"), day("id").alias("at"))
+    path = str(tmp_path / "sorted")
+    rows_ = wide.unionByName(narrow).coalesce(1).sortWithinPartitions("at")
+    rows_.write.option("parquet.block.size", 2048).option("parquet.page.row.count.limit", 100).parquet(path)
+    df = spark.read.parquet(path).withColumn("date", F.col("at").cast("date"))
+    found = joins.common_period(df, raw="at")
+    want = joins.common_period(df).collect()
+    assert sorted(found.collect()) == sorted(want) and len(want) == 400
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "DataFilters" in line and "subquery" in line.lower())
+    assert "at#" in scan[scan.index("DataFilters") :]

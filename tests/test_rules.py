@@ -175,6 +175,26 @@ def test_harvest_reaches_phytomer_and_single_inflorescence(spark):
     assert got == {1, 2, 3, 12}
 
 
+def test_harvest_by_marks_on_the_edges_and_repeated_edges(spark):
+    """One read of the edges; an edge given twice is one edge; no join is planned."""
+    edges = spark.createDataFrame(
+        [
+            (10, 1, "Internode", None), (11, 10, "Leaf", True), (12, 10, "Female", False), (12, 10, "Female", False),
+            (20, 2, "Internode", False), (21, 20, "Leaf", False), (22, 20, "Female", False),
+            (31, 30, "Leaf", True), (33, 30, "Male", None),
+            (None, 40, "Leaf", True), (40, 4, "Internode", False), (51, None, "Leaf", True), (1, None, "Phytomer", False),
+        ],
+        "node long, parent long, symbol string, cut boolean",
+    )
+    reached = rules.propagate_harvest("cut", edges)
+    assert {(r["node"], r["state"]) for r in reached.collect()} == {(n, "Harvested") for n in (1, 12, 33, 4)}
+    plan = rules.propagate_harvest("cut", edges)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 3
+    assert rules.propagate_harvest("cut", edges.limit(0)).count() == 0
+    marks = spark.createDataFrame([(None,), (31,)], "node long")
+    assert {r["node"] for r in rules.propagate_harvest(marks, edges.drop("cut")).collect()} == {33}
+
+
 def test_leaves_with_null_keys_are_pruned(spark):
     rows = [(None, 1, 1, 60, "Opened", "2020-01-01"), (None, 1, 2, 60, "Opened", "2020-01-02")]
     df = spark.createDataFrame(rows, "Site string, node int, timestep int, rank int, state string, date string")

@@ -137,3 +137,50 @@ def check_leaf_key(spark, sf):
     return checks.check_unique_key(
         roles.organs(spark, sf), ["id", "line"], "leaf_key"
     )
+
+
+# windows from the events: some users gave no duration, some no end, the rest of them neither
+WINDOWS = """
+windows AS (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 6 END AS window_duration,
+         CASE WHEN event_type = 'purchase' THEN CAST(ts AS DATE) END AS end_date
+  FROM events)"""
+
+
+@query(
+    f"WITH {WINDOWS}"
+    + verdict("window_end", "count(*) FILTER (WHERE window_duration IS NULL AND end_date IS NULL)", "windows")
+)
+def check_window_end(spark, sf):
+    windows = roles.read(spark, sf, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 3 == 0, 6).alias("window_duration"),
+        F.when(F.col("event_type") == "purchase", F.col("ts").cast("date")).alias("end_date"),
+    )
+    return checks.check_window_end(windows)
+
+
+ORDER_TOTALS = """
+lines AS (
+  SELECT l_orderkey, l_returnflag AS flag, l_quantity AS quantity FROM lineitem),
+shipped AS (
+  SELECT l_orderkey, l_returnflag AS flag,
+         CASE WHEN l_linenumber = 3 AND l_quantity > 49 THEN 0 ELSE l_quantity END AS quantity FROM lineitem)"""
+
+
+@query(
+    f"""WITH {ORDER_TOTALS},
+diff AS (
+  SELECT l_orderkey FROM (
+    SELECT *, 1 AS side FROM lines UNION ALL SELECT *, -1 FROM shipped)
+  GROUP BY l_orderkey, flag, quantity HAVING sum(side) <> 0)"""
+    + verdict("tables_equal", "count(DISTINCT l_orderkey)", "diff")
+)
+def check_tables_repeated_keys(spark, sf):
+    """Tables whose key repeats, compared as multisets."""
+    lines = roles.read(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), "l_linenumber"
+    )
+    off = (F.col("l_linenumber") == 3) & (F.col("quantity") > 49)
+    shipped = lines.withColumn("quantity", F.when(off, F.lit(0).cast(lines.schema["quantity"].dataType)).otherwise(F.col("quantity")))
+    return checks.check_tables_equal(lines.drop("l_linenumber"), shipped.drop("l_linenumber"), ["l_orderkey"])

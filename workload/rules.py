@@ -195,11 +195,12 @@ def propagate_harvest(spark, sf):
         (place + F.when(is_leaf, 0).otherwise(1)).alias("node"),
         (F.col("l_orderkey") * 4 + 2).alias("parent"),
         symbol.alias("symbol"),
-    ).distinct()
+        (is_leaf & (F.col("l_returnflag") == "R")).alias("pruned"),
+    )
     internodes = orders.select(
         (F.col("o_orderkey") * 4 + 2).alias("node"),
         (F.col("o_custkey") * 4 + 3).alias("parent"),
         F.lit("Internode").alias("symbol"),
+        F.lit(False).alias("pruned"),
     )
-    pruned = lineitem.where(is_leaf & (F.col("l_returnflag") == "R")).select(place.alias("node"))
-    return rules.propagate_harvest(pruned, organs.unionByName(internodes))
+    return rules.propagate_harvest("pruned", organs.unionByName(internodes))

@@ -58,7 +58,13 @@ SELECT "Site", date, id FROM series
 WHERE date BETWEEN (SELECT start_date FROM bounds) AND (SELECT end_date FROM bounds)"""
 )
 def common_period(spark, sf):
-    return joins.common_period(roles.series(spark, sf)).select("Site", "date", "id")
+    raw = roles.read(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("Site"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.col("o_orderkey").alias("id"),
+        "o_orderdate",
+    )
+    return joins.common_period(raw, raw="o_orderdate").select("Site", "date", "id")
 
 
 @query(
