@@ -12,6 +12,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from pathlib import Path
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -22,56 +23,105 @@ from pyspark.sql import types as T
 
 from agroseries.sources.shared import saved
 
-KNOWN_WORDS, NEW_WORDS = 300_000, 100_000
-SLICE_BYTES = 1 << 20
+KNOWN_WORDS, SLICE_BYTES, JOINT = 200_000, 1 << 20, 400
+MARK = "\x01"
+LAST_PLAIN = "\u024f"  # Latin letters, all of them composed
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids of words between ASCII white space, which this vocabulary never joins or sees.
 
-    A word that comes back is kept as known, a word seen once only for a while, so the many rare
-    words do not push out the frequent ones. Both stores are emptied when full. They belong to the
-    Python worker and so outlive a task.
+    Known words are kept in two generations: when the young one is full it becomes the old one, from
+    which words that come back are taken over. So frequent words stay and rare ones go, and neither holds more
+    than ``KNOWN_WORDS`` words and those of one slice. They belong to the Python worker and outlive a task.
+
+    A new word of plain lower-case letters is one pre-token that the normalizer leaves alone, so it goes
+    straight to the merges. Other words go through the whole tokenizer, many in one text, with a mark
+    between them that is a token of its own; a word that may hold a special token or the mark goes alone.
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.plain = Tokenizer.from_str(json.dumps({**json.loads(vocabulary), "normalizer": None}))
-        self.known: dict[bytes, bytes] = {}
-        self.new: dict[bytes, bytes] = {}
-
-    def look_up(self, words: set[bytes]) -> dict[bytes, bytes]:
-        found, unseen = {}, []
-        for word in words:
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self.new.pop(word, None)
-                if ids is None:
-                    unseen.append(word)
-                    continue
-                self.known[word] = ids
-            found[word] = ids
-        # the vocabulary's normalizer leaves lower-case ASCII as it is
-        simple = [w for w in unseen if w.isascii() and w == w.lower() and b"<|" not in w]
-        other = set(unseen).difference(simple)
-        for tokenizer, some in ((self.plain, simple), (self.tokenizer, list(other))):
-            texts = [w.decode("utf-8", "replace") for w in some]
-            for word, made in zip(some, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                found[word] = self.new[word] = np.array(made.ids, dtype="<u4").tobytes()
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        if len(self.new) > NEW_WORDS:
-            self.new.clear()
-        return found
+        _must_be_known(json.loads(vocabulary))
+        self.merged = self.tokenizer.model.tokenize
+        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("this vocabulary has no token of its own for the mark between words")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.letters: dict[str, str] = {}
+
+    def _spelled(self, word: str) -> str:
+        """The word in the characters that stand for its bytes."""
+        if word.isascii():
+            return word
+        for letter in word:
+            if letter not in self.letters:
+                self.letters[letter] = self.bytes_of(letter)[0][0]
+        return "".join(map(self.letters.__getitem__, word))
+
+    def _look_up(self, missing: list[bytes]) -> None:
+        joint, alone, young = [], [], self.young
+        for word in missing:
+            text = word.decode("utf-8", "replace")
+            if text.isalpha() and text == text.lower() and max(text) <= LAST_PLAIN:
+                ids = [t.id for t in self.merged(self._spelled(text))]
+                young[word] = pack_ids(f"<{len(ids)}I", *ids)
+            elif "<|" in text or MARK in text or "\ufffd" in text:
+                alone.append((word, text))
+            else:
+                joint.append((word, text))
+        encode = self.tokenizer.encode_batch_fast
+        for (word, _), made in zip(alone, encode([t for _, t in alone], add_special_tokens=False), strict=True):
+            young[word] = pack_ids(f"<{len(made.ids)}I", *made.ids)
+        runs = [joint[k : k + JOINT] for k in range(0, len(joint), JOINT)]
+        texts = [f" {MARK} ".join([t for _, t in run]) for run in runs]
+        for run, made in zip(runs, encode(texts, add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            begin = 0
+            for (word, _), end in zip(run, ends, strict=True):
+                young[word] = ids[begin:end].tobytes()
+                begin = end + 1
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # ASCII case is folded here, as the vocabulary does, unless a special token could be meant
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        find = self.look_up(set().union(*words)).__getitem__
-        return [b"".join(map(find, doc)) for doc in words]
+        docs = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        young, old, missing = self.young, self.old, {}
+        for doc in docs:
+            for word in doc:
+                if word not in young:
+                    if word in old:
+                        young[word] = old[word]
+                    else:
+                        missing[word] = None
+        self._look_up(list(missing))
+        out = [b"".join(map(young.__getitem__, doc)) for doc in docs]
+        if len(young) > KNOWN_WORDS:
+            self.young, self.old = {}, young
+        return out
+
+
+def _must_be_known(vocabulary: dict) -> None:
+    """Raise unless lower-case composed letters are one pre-token that no normalizer changes."""
+    steps = {n["type"] for n in (vocabulary.get("normalizer") or {}).get("normalizers", [])}
+    split, *rest = (vocabulary.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    pieces = split.get("pattern", {}).get("Regex", "").split("|")
+    if not (
+        steps <= {"NFC", "Replace", "Lowercase"}
+        and split.get("type") == "Split"
+        and split.get("behavior") == "Removed"
+        and split.get("invert")
+        and "[\\p{L}]+" in pieces
+        and all(p[0] in "'[" for p in pieces)  # nothing but contractions comes before a run of letters
+        and [r["type"] for r in rest] == ["ByteLevel"]
+        and not vocabulary["model"].get("dropout")
+    ):
+        raise ValueError("words of this vocabulary cannot be told apart by white space and letters")
 
 
 def _slices(texts: pa.Array) -> Iterator[list[bytes]]:
