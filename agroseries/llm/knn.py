@@ -26,7 +26,7 @@ from agroseries.sources.shared import saved
 
 LEAF = 64
 QUERY_BLOCK = 256
-RESULT = "query_id bigint, vec_id bigint, score decimal(38,0)"
+RESULT = "row bigint, query_id bigint, vec_id bigint, score decimal(38,0)"
 
 
 class Tree(NamedTuple):
@@ -70,7 +70,7 @@ def build_tree(points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> Tree:
 
 
 def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, floors: list, k: int) -> list[tuple]:
-    """(query, vec, score) of the best ``k`` per query in this tree, at least its floor."""
+    """(number of the query, its id, vec, score) of the best ``k`` per query in this tree, at least its floor."""
     found = []
     if not len(tree.ids):
         return found
@@ -78,7 +78,8 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, floors: list, k: in
     for begin in range(0, len(ids), QUERY_BLOCK):
         block = slice(begin, begin + QUERY_BLOCK)
         bounds = up[block] @ tree.high.T + down[block] @ tree.low.T
-        for own, query, bound, floor in zip(ids[block], queries[block], bounds, floors[block], strict=True):
+        asked = range(begin, begin + len(bounds))
+        for number, own, query, bound, floor in zip(asked, ids[block], queries[block], bounds, floors[block], strict=True):
             best: list[tuple] = []  # (score, -vec), the worst first
             waiting = [(-bound[0], 0)]
             while waiting:
@@ -108,7 +109,7 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, floors: list, k: in
                         heapq.heappush(best, item)
                     elif item > best[0]:
                         heapq.heapreplace(best, item)
-            found += [(int(own), -v, s) for s, v in best]
+            found += [(number, int(own), -v, s) for s, v in best]
     return found
 
 
@@ -123,7 +124,7 @@ def _matrix(rows: pd.Series) -> np.ndarray:
 
 def _search_shard(k: int):
     def run(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
+        columns = ["row", "query_id", "vec_id", "score"]
         if not len(asked) or not len(stored):
             return pd.DataFrame([], columns=columns)
         both = _matrix(pd.concat([stored["values"], asked["values"]], ignore_index=True))
@@ -131,7 +132,8 @@ def _search_shard(k: int):
         floors = [None if pd.isna(x) else int(x) for x in asked["floor"]]
         rows = search(tree, asked["vec_id"].to_numpy(), both[len(stored) :], floors, k)
         made = pd.DataFrame(rows, columns=columns)
-        made["score"] = [decimal.Decimal(s) for _, _, s in rows]
+        made["row"] = asked["row"].to_numpy()[made["row"].to_numpy(dtype=np.int64)]
+        made["score"] = [decimal.Decimal(s) for *_, s in rows]
         return made
 
     return run
@@ -156,17 +158,18 @@ def top_k(
 
     Candidates are all rows but the query's own id; ties go to the smaller id; fewer candidates give
     fewer rows. Rows with a null id or null ``values`` take no part, and vectors meet only those of
-    their own length. Repeated rows of one id count once (of different vectors the smallest). Other
-    columns are ignored; an empty table gives none. Shards grow in number, not in size.
+    their own length. Every row is a candidate of its own, also one that repeats or that shares its id; several query rows with
+    one id are ranked together. Other columns are ignored; an empty table gives none. Shards grow in
+    number, not in size.
     """
     vectors = df.select(F.col(id_col).cast("bigint").alias("vec_id"), values.alias("values"), is_query.alias("asks"))
     vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("values").isNotNull())
-    vectors = vectors.groupBy("vec_id").agg(F.min("values").alias("values"), F.max("asks").alias("asks"))
-    vectors = saved(vectors.withColumn("size", F.size("values")), "vectors")
+    vectors = vectors.withColumns({"size": F.size("values"), "row": F.monotonically_increasing_id()})
+    vectors = saved(vectors, "vectors")
     shards = max(1, math.ceil(vectors.count() / shard_rows))
-    vectors = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    vectors = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     stored = vectors.select(*[F.col(c).alias(c) for c in ("size", "shard", "vec_id", "values")])
-    queries = vectors.where("asks").select("size", "shard", "vec_id", "values")
+    queries = vectors.where("asks").select("size", "shard", "row", "vec_id", "values")
     keys = ["size", "shard"]
 
     def round_of(asked: DataFrame) -> DataFrame:
@@ -174,9 +177,9 @@ def top_k(
 
     none = F.lit(None).cast("decimal(38,0)")
     first = saved(round_of(queries.withColumn("floor", none)), "nearest")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    kth = kth.select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    known = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").drop("query_id")
+    kth = first.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    kth = kth.select("row", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
+    known = queries.join(kth, "row", "left")
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))
     spread = known.withColumn("shard", F.explode(others))
     second = round_of(spread)

@@ -12,6 +12,7 @@ no document is spread over a shuffle and none is gathered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,6 +142,13 @@ def word_distance(shares: Sequence[float]) -> Column:
     return _distance(matched + 0.5 * listed + _divergence(rest, 1 - listed))
 
 
+def without_listed(listed: float) -> float:
+    """Distance of a text that has none of the words that make up ``listed`` of a language."""
+    rest, middle = 1 - listed, 1 - listed / 2
+    parts = 0.5 * listed + 0.5 * math.log2(1 / middle) + (0.5 * rest * math.log2(rest / middle) if rest > 0 else 0.0)
+    return math.sqrt(min(max(parts, 0.0), 1.0))
+
+
 def judge(
     df: DataFrame,
     text_col: str,
@@ -150,18 +158,20 @@ def judge(
     least_chars: int = 200,
     least_words: int = 100,
     most_class: float = 0.32,
-    most_word: float = 0.45,
+    most_word: float = 0.95,
 ) -> DataFrame:
     """Columns ``keep`` (all by default) of every row, with the base counts and the verdict.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     word_distance and kept; columns of ``df`` with such names are replaced. A distance is null below
     its least length (``least_chars`` characters, ``least_words`` words) or without any reference,
-    and a null distance fails nobody. Null texts count as empty and fail the base rules. Rows with a
+    and a null distance fails nobody. The limit of the word distance is ``most_word`` times what a text
+    without any listed word has, per language, so it can be reached whatever share a language's
+    list covers; ``word_reach`` is the least such share. Null texts count as empty and fail the base rules. Rows with a
     null language help no reference but are judged like all others. Equal rows are judged alike; an
     empty table gives none.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "word_reach", "kept"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in added]
     listed = common_words(df, text_col, lang_col, top)
     common = sorted({w for words in listed.values() for w in words})
@@ -171,13 +181,16 @@ def judge(
         F.sum("n_words").alias("n_words"), *[F.sum(f"__c_{c}").alias(c) for c in CLASSES]
     )
     references = sums.orderBy("__lang").collect()  # a row per language
-    class_all, word_all = [], []
+    class_all, word_all, reach_all = [], [], []
     for row in references:
         total = sum(row[c] for c in CLASSES)
         if total and row["n_words"]:
             class_all.append(class_distance({c: row[c] / total for c in CLASSES}))
             own = listed.get(row["__lang"], {})
-            word_all.append(word_distance([own.get(w, 0) / row["n_words"] for w in common]))
+            shares = [own.get(w, 0) / row["n_words"] for w in common]
+            word_all.append(word_distance(shares))
+            if sum(shares) > 0:
+                reach_all.append(word_all[-1] / without_listed(sum(shares)))
     nearest = lambda found: F.array_min(F.array(*found)) if found else F.lit(None).cast("double")
     chars = sum((F.col(f"__c_{c}") for c in CLASSES[1:]), F.col(f"__c_{CLASSES[0]}"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -186,7 +199,8 @@ def judge(
             "base_failed": failed,
             "class_distance": F.when(chars >= least_chars, nearest(class_all)),
             "word_distance": F.when(F.col("n_words") >= least_words, nearest(word_all)),
+            "word_reach": F.when(F.col("n_words") >= least_words, nearest(reach_all)),
         }
     )
-    odd = (F.col("class_distance") > most_class) | (F.col("word_distance") > most_word)
+    odd = (F.col("class_distance") > most_class) | (F.col("word_reach") > most_word)
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).select(*keep, *added)

@@ -148,19 +148,20 @@ sums AS (
   SELECT doc_id, lang, sum(p) AS p, sum(0.5 * p * log2(2 * p / (p + q)) + 0.5 * q * log2(2 * q / (p + q)) - 0.5 * q) AS s
   FROM hits GROUP BY doc_id, lang),
 pairs AS (
-  SELECT docs.doc_id, l.lang, 1 - coalesce(sums.p, 0) AS p, 1 - l.q AS q, coalesce(s, 0) + 0.5 * l.q AS s
+  SELECT docs.doc_id, l.lang, 1 - coalesce(sums.p, 0) AS p, 1 - l.q AS q, coalesce(s, 0) + 0.5 * l.q AS s,
+    sqrt(0.5 * l.q + 0.5 * log2(2 / (2 - l.q)) + CASE WHEN l.q < 1 THEN 0.5 * (1 - l.q) * log2(2 * (1 - l.q) / (2 - l.q)) ELSE 0 END) AS most
   FROM docs JOIN (SELECT lang, sum(q) AS q FROM common GROUP BY lang) l ON docs.n_words >= 100
   LEFT JOIN sums ON sums.doc_id = docs.doc_id AND sums.lang = l.lang),
 word_near AS (
   SELECT doc_id, min(sqrt(least(greatest(s + CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END
-    + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END, 0), 1))) AS word_distance FROM pairs GROUP BY doc_id),
+    + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END, 0), 1)) / most) AS word_reach FROM pairs GROUP BY doc_id),
 judged AS (
   SELECT doc_id, n_words, chars - c2 AS word_chars, c5 AS n_symbols, n_dup_lines,
-    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, class_distance, word_distance
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, class_distance, word_reach
   FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN class_near USING (doc_id) LEFT JOIN word_near USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(class_distance > 0.32 OR word_distance > 0.45, false) AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(class_distance > 0.32 OR word_reach > 0.95, false) AS kept
 FROM judged
 """
 

@@ -72,6 +72,21 @@ def test_word_distance_against_full_histograms(spark):
         assert abs(got[r["doc_id"]] - min(near)) < 1e-9
 
 
+def test_words_that_no_language_lists_go(spark):
+    """Random lower-case words have ordinary letters; only the common words tell them from prose."""
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    salad = [
+        (10_000 + i, " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(7, 11))) for _ in range(400)), None) for i in range(20)
+    ]
+    made = spark.createDataFrame(salad, "doc_id bigint, text string, lang string")
+    judged = quality.judge(docs.unionByName(made), "text", "lang")
+    odd = judged.where("doc_id >= 10000").collect()
+    assert not any(r["base_failed"] or r["kept"] for r in odd) and all(abs(r["word_reach"] - 1) < 1e-9 for r in odd)
+    clean = judged.where("doc_id < 10000 AND NOT base_failed AND n_symbols = 0 AND n_words >= 100")
+    assert clean.where("kept").count() >= 0.98 * clean.count() > 50
+
+
 def test_clean_prose_stays_and_symbols_go(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 1500")
     noisy = docs.withColumns({"doc_id": F.col("doc_id") + 10_000, "text": F.regexp_replace("text", " ", "### "), "lang": F.lit(None).cast("string")})
@@ -175,6 +190,15 @@ def test_search_with_huge_components_is_exact(spark):
     assert found_top(df) == brute_top(vectors, 5)
 
 
+def test_search_keeps_every_row_of_a_repeated_id(spark):
+    """Different vectors under one id, and one row given twice, are candidates of their own."""
+    rows = [(50, [1.0]), (7, [3.0]), (7, [9.0]), (7, [-2.0]), (8, [4.0]), (8, [4.0]), (9, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    w = 256 * 256
+    for options in ({}, {"shard_rows": 2}):
+        assert found_top(df, **options) == {50: [(7, 9 * w), (8, 4 * w), (8, 4 * w), (7, 3 * w), (9, w)]}
+
+
 def test_search_awkward_rows(spark):
     nan = float("nan")
     rows = [
@@ -183,6 +207,7 @@ def test_search_awkward_rows(spark):
     ]
     df = clashing(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), ["values", "size", "shard", "asks", "rank", "score"])
     want = 256 * 256 * 5
-    assert found_top(df) == {0: [(5, want), (6, want), (8, 0)]}
+    # both rows with id 0 ask, and are ranked together
+    assert found_top(df) == {0: [(5, want), (5, want), (6, want), (6, want), (8, 0)]}
     assert found_top(df.limit(0)) == {}
     assert isinstance(knn.top_k(df, "vec_id", knn.scaled(F.col("embedding")), F.lit(True)).first()["score"], Decimal)
