@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agroseries.functions import constants as k
-from agroseries.operators import reshape, rollup, scenario
+from agroseries.operators import rollup, scenario
 from agroseries.operators.series import month_index
 from agroseries.plans import sites
+from agroseries.sources.shared import saved
 from workload import roles
 from workload.registry import doubles, num, query
 from workload.roles import FINE, LEAVES, MONTHS, ORGANS, PLANTS, SCENARIO_PLANTS, SERIES
@@ -105,12 +106,11 @@ SELECT "Site", months_after_planting,
 FROM plants GROUP BY 1, 2"""
 )
 def site_months(spark, sf):
-    """Outputs of all sites on top of each other, joined to the weather by step, rolled up."""
-    plants = roles.plants(spark, sf)
+    """Outputs of all sites, joined to the weather by step, rolled up. The plants are made once."""
+    plants = saved(roles.plants(spark, sf), "plants")
     weather = plants.select("Site", "timestep", "date", "months_after_planting", "TEff")
     output = plants.drop("date", "months_after_planting", "TEff")
-    by_site = [output.where(F.col("Site") == site) for site in ("F", "O", "P")]
-    return doubles(sites.plant_months(reshape.unite(by_site), weather))
+    return doubles(sites.plant_months(output, weather))
 
 
 @query(
