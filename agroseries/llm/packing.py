@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from agroseries.sources.shared import saved
 
-KNOWN_WORDS, SLICE_BYTES, JOINT = 200_000, 1 << 20, 400
+KNOWN_WORDS, SLICE_BYTES, JOINT = 400_000, 2 << 20, 400
 MARK = "\x01"
 LAST_PLAIN = "\u024f"  # Latin letters, all of them composed
 _encoders: dict[str, WordEncoder] = {}
