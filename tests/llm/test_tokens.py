@@ -1,9 +1,11 @@
 import base64
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -49,16 +51,32 @@ def test_pieces_hold_the_tokenizer_ids_once(spark):
     assert all(len(r["ids"]) == 4 * 512 for r in rows) and sum(r["tokens"] for r in rows) == sum(map(len, want.values()))
 
 
-def test_word_stores_may_empty_at_any_time():
-    old = packing.KNOWN_WORDS, packing.NEW_WORDS
-    packing.KNOWN_WORDS, packing.NEW_WORDS = 2, 1
-    try:
-        encoder, fresh = packing.WordEncoder(open(WORDS).read()), packing.WordEncoder(open(WORDS).read())
-        texts = [b"the cat the dog", b"The cat saw the dog", b"", b"dog cat bird the"]
-        for _ in range(3):
-            assert encoder.encode(texts) == fresh.encode(texts)
-    finally:
-        packing.KNOWN_WORDS, packing.NEW_WORDS = old
+def test_word_stores_may_change_generation_at_any_time(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 2)
+    encoder = packing.WordEncoder(open(WORDS).read())
+    texts = [b"the cat the dog", b"The cat saw the dog", b"", b"dog cat bird the"]
+    want = [np.array(encoder.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for _ in range(3):
+        assert encoder.encode(texts) == want
+        assert encoder.encode(texts[:1]) == want[:1]
+        assert len(encoder.young) <= 2 + 6
+
+
+def test_words_of_every_kind_have_the_ids_of_the_whole_tokenizer(monkeypatch):
+    """Plain letters, joined words, words that go alone; also with few words to a joined text."""
+    monkeypatch.setattr(packing, "JOINT", 3)
+    texts = [
+        "Naïve ÉCOLE œuvre ŉ ǅ ß İstanbul Σίσυφος ΟΔΟΣ 中文 かな 한글",
+        "<|endoftext|> a<|b <|startoftext|>the x\x01y \x01 \x01\x01 \ufffd don't we'll I'M o'Sé",
+        "\x1cq r\x1d \u0301abc e\u0301t ﬁ ½ 3a4 a_b -- a-b... 😀x 😀 a\u00a0b ª º ʼn \u212b",
+    ] * 2
+    encoder = packing.WordEncoder(open(WORDS).read())
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode([t.encode() for t in texts]) == want
+    other = json.loads(open(WORDS).read())
+    other["pre_tokenizer"]["pretokenizers"][0]["behavior"] = "Isolated"
+    with pytest.raises(ValueError, match="cannot be told apart"):
+        packing.WordEncoder(json.dumps(other))
 
 
 def test_packing_awkward_rows(spark):
