@@ -211,3 +211,35 @@ def test_search_awkward_rows(spark):
     assert found_top(df) == {0: [(5, want), (5, want), (6, want), (6, want), (8, 0)]}
     assert found_top(df.limit(0)) == {}
     assert isinstance(knn.top_k(df, "vec_id", knn.scaled(F.col("embedding")), F.lit(True)).first()["score"], Decimal)
+
+
+def test_queries_go_only_to_shards_whose_box_reaches_their_kth_score(spark):
+    """Ten far groups: a query leaves its own corner only where the k-th score can still be beaten."""
+    rng = np.random.default_rng(3)
+    centre = 40.0 * np.eye(10)
+    points = [(i, (centre[i % 10] + rng.uniform(-1, 1, 10)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(points, "vec_id bigint, values array<double>").withColumn("size", F.size("values"))
+    vectors, tasks = knn.sharded(df, 100)
+    vectors = vectors.cache()
+    shards = vectors.select("shard").distinct().count()
+    assert shards >= 20
+    ends = {f"v{i}": F.col("values")[i] for i in range(10)}
+    low = F.array(*[F.min(c) for c in ends.values()])
+    boxes = vectors.groupBy("size", "shard").agg(low.alias("low"), F.array(*[F.max(c) for c in ends.values()]).alias("high"))
+    queries = vectors.where("vec_id % 50 = 0").withColumn("floor", F.lit(1000).cast("decimal(38,0)"))
+    sent = knn.candidate_shards(queries.select("row", "vec_id", "values", "floor", "size", "shard"), boxes, tasks)
+    pairs = {(r["vec_id"], r["shard"]) for r in sent.collect()}
+    own = {r["vec_id"]: r["shard"] for r in queries.collect()}
+    where = {r["shard"]: r for r in boxes.collect()}
+    asked = {r["vec_id"]: np.array(r["values"]) for r in queries.collect()}
+    bound = lambda q, b: np.maximum(q * np.array(b["low"]), q * np.array(b["high"])).sum()
+    assert pairs == {(q, s) for q in own for s, b in where.items() if s != own[q] and bound(asked[q], b) >= 1000}
+    assert 0 < len(pairs) < 0.3 * len(own) * (shards - 1)
+    vectors.unpersist()
+
+
+def test_cells_of_equal_vectors_and_of_two_values():
+    assert knn.cut_cells(np.ones((50, 3)), 8) == [knn.Cut(-1, 0.0, -1, -1)]
+    points = np.array([[0.0]] * 90 + [[1.0]] * 10)
+    cells = knn.cell_of(knn.cut_cells(points, 8), points)
+    assert len(set(cells[:90])) == len(set(cells[90:])) == 1 and cells[0] != cells[90]
