@@ -32,6 +32,8 @@ from agroseries.sources.shared import scratch_path
 
 BLOCK_WORDS, BLOCK_DISTINCT = 3_000_000, 250_000
 CACHED_WORDS = 200_000
+LEAST_BUCKETS, MOST_BUCKETS = 64, 8192
+MOST_TABLE_BUCKETS = 100_000  # of a bucketed table, as Spark allows by default
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -97,7 +99,7 @@ def block_schema(id_type: T.DataType) -> T.StructType:
     )
 
 
-def split_blocks(pattern: str, buckets: int, schema: T.StructType):
+def split_blocks(pattern: str, buckets: int, schema: T.StructType, most_words: int, most_distinct: int):
     """Task function: pre-tokens with positions, as numbered words per block.
 
     A block gives one row per document (bucket -1: word numbers by position) and one row per bucket
@@ -133,7 +135,7 @@ def split_blocks(pattern: str, buckets: int, schema: T.StructType):
                 words = cut.findall((text.as_py() or b"").decode("utf-8", "replace"))
                 docs.append((i.as_py(), np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int32)))
                 held += len(words) + 1
-                if held >= BLOCK_WORDS or len(numbers) >= BLOCK_DISTINCT:
+                if held >= most_words or len(numbers) >= most_distinct:
                     yield flush(block, kind, numbers, docs)
                     block, numbers, docs, held = block + 1, {}, [], 0
                     pa.default_memory_pool().release_unused()
@@ -184,31 +186,45 @@ def join_blocks(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"id": docs["id"], "tokens": tokens})
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a table in the shared folder, laid out by ``key`` as a shuffle by ``key`` would be."""
+def bucketed(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """``df`` as a table in the shared folder, laid out by ``key`` as a shuffle by ``key`` would be.
+
+    It has a bucket for each of ``tasks``, which follow the input, so that a bucket does not grow with it.
+    """
     spark = df.sparkSession
     name = f"words_{uuid.uuid4().hex}"
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TABLE_BUCKETS, tasks))
     df.write.bucketBy(count, key).option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
 def encode(
-    df: DataFrame, id_col: str, text_col: str, rank_file: str, pattern: str, buckets: int = 64
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    rank_file: str,
+    pattern: str,
+    buckets: int | None = None,
+    most_words: int = BLOCK_WORDS,
+    most_distinct: int = BLOCK_DISTINCT,
 ) -> DataFrame:
     """(id, tokens array<int>): one row per row of ``df``, its whole text encoded.
 
     Null and empty texts have no tokens. Equal rows and equal or null ids stay rows of their own;
     other columns are ignored; an empty table gives none. The rank table is broadcast: a vocabulary
-    of fixed size. A block has up to ``BLOCK_WORDS`` words or ``BLOCK_DISTINCT`` distinct ones, or is
+    of fixed size. A block has up to ``most_words`` words or ``most_distinct`` distinct ones, or is
     one document if that has more. The numbered documents are written bucketed by block, so that only
-    words and their ids are ever shuffled.
+    words and their ids are ever shuffled. Words are merged in ``buckets`` tasks: one for each task
+    that reads the input, within 64 and 8192, since a block sends every bucket a row.
     """
     schema = block_schema(df.schema[id_col].dataType)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    staged = bucketed(rows.mapInArrow(split_blocks(pattern, buckets, schema), schema), "block")
+    tasks = rows.rdd.getNumPartitions()
+    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, tasks))
+    split = split_blocks(pattern, buckets, schema, most_words, most_distinct)
+    staged = bucketed(rows.mapInArrow(split, schema), "block", tasks)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
-    words = staged.where("bucket >= 0").repartition("bucket").mapInArrow(encode_words(ranks, schema), schema)
+    words = staged.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(encode_words(ranks, schema), schema)
     out = T.StructType([T.StructField("id", schema["id"].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     docs = staged.where("bucket < 0")
     return docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join_blocks, out)

@@ -107,16 +107,23 @@ def test_merges_like_the_library():
 
 def test_encode_and_decode_documents(spark):
     docs, own = documents(spark), encoding()
-    old = bpe.BLOCK_WORDS, bpe.BLOCK_DISTINCT
     coded = bpe.encode(docs, "doc_id", "text", RANKS, public_tokenizers.PATTERN, buckets=5)
     coded = coded.withColumn("back", bpe.decode(spark, F.col("tokens"), RANKS))
     got = {r["id"]: r for r in coded.collect()}
-    assert (bpe.BLOCK_WORDS, bpe.BLOCK_DISTINCT) == old
     for row in docs.collect():
         assert got[row["doc_id"]]["tokens"] == own.encode_ordinary(row["text"])
         assert bytes(got[row["doc_id"]]["back"]).decode() == row["text"]
 
 
+def test_encode_with_many_blocks_in_a_partition(spark):
+    """A block ends inside a partition, by words or by distinct words; the ids stay the same."""
+    docs, own = documents(spark).coalesce(1), encoding()
+    want = {r["doc_id"]: own.encode_ordinary(r["text"]) for r in docs.collect()}
+    for limits in ({"most_words": 40}, {"most_distinct": 7}):
+        coded = bpe.encode(docs, "doc_id", "text", RANKS, public_tokenizers.PATTERN, 3, **limits)
+        assert {r["id"]: r["tokens"] for r in coded.collect()} == want
+
+
 def test_bpe_awkward_rows(spark):
     df = clashing(awkward(spark), ["id", "block", "bucket", "data", "tokens"])
     coded = bpe.encode(df, "doc_id", "text", RANKS, public_tokenizers.PATTERN)
