@@ -76,10 +76,13 @@ def state_counts(
     opened_sums: Mapping[str, str] | None = None,
     sums: Mapping[str, str] | None = None,
     opened: str = k.OPENED,
+    lasts: Pairs = None,
+    order: a.Order = "timestep",
 ) -> DataFrame:
     """Rows of each group in given states; one output per entry of ``states`` and ``decisions``.
 
-    ``opened_sums`` adds up a column over the rows in the opened state only.
+    ``opened_sums`` adds up a column over the rows in the opened state only, ``lasts`` takes the value
+    at the last step of the group by ``order``.
     """
     parts = [F.count_if(F.col(state).isin(*labels)).alias(out) for out, labels in states.items()]
     parts += [F.count_if(F.col(decision) == d).alias(out) for out, d in (decisions or {}).items()]
@@ -87,6 +90,7 @@ def state_counts(
     in_state = F.col(state) == opened
     parts += [a.sum_where(x, in_state).alias(out) for out, x in (opened_sums or {}).items()]
     parts += [F.sum(x).alias(out) for out, x in (sums or {}).items()]
+    parts += [a.last_by(x, order).alias(out) for out, x in (lasts or {}).items()]
     return df.groupBy(*keys).agg(*parts)
 
 

@@ -433,3 +433,11 @@ def test_common_period_skips_row_groups(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line and "DataFilters" in line and "subquery" in line.lower())
     assert "at#" in scan[scan.index("DataFilters") :]
+
+
+def test_state_counts_with_last_values(spark):
+    rows = [("p", 1, "Opened", 5), ("p", 3, "Pruned", None), ("p", 2, None, 7), ("q", 1, "Opened", 8), (None, None, "Opened", 9)]
+    df = spark.createDataFrame(rows, "plant string, timestep int, state string, month int")
+    got = rollup.state_counts(df, ["plant"], {"opened": ["Opened"]}, decision="state", lasts={"last": "month"})
+    # the last step counts even if its value is NULL; a group without any step has no last value
+    assert {tuple(r) for r in got.collect()} == {("p", 1, 3, None), ("q", 1, 1, 8), (None, 1, 1, None)}

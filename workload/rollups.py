@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agroseries.functions import columns as c
 from agroseries.functions import constants as k
 from agroseries.operators import rollup, scenario
 from agroseries.operators.series import month_index
@@ -183,6 +184,30 @@ def state_counts(spark, sf):
     return doubles(leaf_counts(spark, sf))
 
 
+@query(
+    f"""
+WITH {ORGANS}
+SELECT "Site", CAST(date_trunc('month', date) AS DATE) AS yearmonth,
+       count(*) FILTER (WHERE state = 'Opened') AS leaves_opened,
+       count(*) FILTER (WHERE state = 'Pruned') AS leaves_pruned,
+       count(*) AS n_rows,
+       CAST(sum(CASE WHEN state = 'Opened' THEN leaf_area ELSE 0 END) AS DOUBLE) AS leaf_area,
+       max(timestep) AS last_step, arg_max(date, timestep) AS last_date
+FROM organs GROUP BY 1, 2"""
+)
+def state_months(spark, sf):
+    """State counts beside the last values of the month, in one roll-up."""
+    organs = roles.organs(spark, sf).withColumn("yearmonth", c.month_start("date"))
+    counts = rollup.state_counts(
+        organs,
+        ["Site", "yearmonth"],
+        {name: STATES[name] for name in ("leaves_opened", "leaves_pruned")},
+        opened_sums={"leaf_area": "leaf_area"},
+        lasts={"last_step": "timestep", "last_date": "date"},
+    )
+    return doubles(counts)
+
+
 @query(f"WITH {ORGANS} SELECT state, count(*) AS n FROM organs GROUP BY 1")
 def count_by_state(spark, sf):
     return rollup.count_by(roles.organs(spark, sf), ["state"])
