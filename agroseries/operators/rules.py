@@ -1,18 +1,19 @@
 """Pruning and phenology rules applied to whole observation tables.
 
 A rule that the simulation applies leaf by leaf and day by day becomes a conditional minimum: the
-first step at which each condition holds. That is a plain aggregation, so a leaf with very many rows
-is reduced on the map side before anything is shuffled.
+first step at which a condition holds. Asked per leaf it is a plain aggregation, which is reduced on the
+map side; asked per row it is a running minimum along the leaf.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agroseries.functions import constants as k
+from agroseries.operators.ordered import Blocks, Carry, scan
 
 LEAF = ("Site", "node")
 
@@ -36,7 +37,7 @@ def _decision(fired: Column, window: Column, rank: Column) -> Column:
     )
 
 
-def prune_firing(
+def prune_decision(
     df: DataFrame,
     rank_window: int,
     start: object,
@@ -48,48 +49,35 @@ def prune_firing(
     state: str = "state",
     date: str = "date",
     litter: str | None = None,
+    blocks: Blocks = None,
 ) -> DataFrame:
-    """One row per leaf that is pruned at all: the step, the decision and the litter it leaves.
+    """Every row with the decision in force: it holds from the step that fired to the end.
 
     A leaf is pruned at its first step with rank above ``rank_max``, state ``Pruned``, or rank of at
-    least ``rank_window`` between the dates. ``step`` must be unique per leaf.
+    least ``rank_window`` between the dates. ``litter`` adds ``litter_leaf``, its value at that step.
+    Rows without a step are not pruned. Keys are compared as grouping does, so a leaf with a NULL key
+    is a leaf like any other.
+
+    The first firing row is carried along the leaf, so the table is read and shuffled once. ``step`` is
+    unique per leaf, which bounds a leaf by the calendar; where it is not (many rows without a key),
+    ``blocks`` cuts the leaf as in ``ordered.scan``.
     """
     window = _in_window(rank, date, rank_window, start, end)
     above = F.col(rank) > rank_max
-    harvested = F.col(state) == k.PRUNED
-    fires = df.where(window | above | harvested)
-    parts = [
-        F.min(step).alias("fired_at"),
-        _first_step(window, step).alias("_window"),
-        _first_step(above, step).alias("_rank"),
+    fires = (window | above | (F.col(state) == k.PRUNED)) & F.col(step).isNotNull()
+    held = [
+        F.col(step).alias("step"),
+        F.when(window, F.col(step)).alias("window"),
+        F.when(above, F.col(step)).alias("rank"),
+        *([F.col(litter).alias("litter")] if litter else []),
     ]
+    fired = Carry(F.when(fires, F.struct(*held)), F.min, F.min)
+    result = scan(df, keys, [step], {"_fired": fired}, blocks)
+    decision = _decision(F.col("_fired.step"), F.col("_fired.window"), F.col("_fired.rank"))
+    made = {"is_pruned": F.col("_fired").isNotNull(), "pruning_decision": decision}
     if litter:
-        parts.append(F.min_by(litter, step).alias("litter_leaf"))
-    fired = fires.groupBy(*keys).agg(*parts)
-    decision = _decision(F.col("fired_at"), F.col("_window"), F.col("_rank"))
-    return fired.withColumn("pruning_decision", decision).drop("_window", "_rank")
-
-
-def prune_decision(
-    df: DataFrame, rank_window: int, start: object, end: object, **options
-) -> DataFrame:
-    """Every row with the decision in force: it holds from the step that fired to the end.
-
-    Keys are compared as grouping does, so a leaf with a NULL key is a leaf like any other.
-    """
-    keys = options.get("keys", LEAF)
-    step = options.get("step", "timestep")
-    fired = prune_firing(df, rank_window, start, end, **options)
-    fired = fired.withColumnRenamed("pruning_decision", "_decision")
-    fired = fired.withColumnsRenamed({key: f"_key_{key}" for key in keys})
-    same = [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys]
-    joined = df.join(fired, same, "left").drop(*[f"_key_{key}" for key in keys])
-    pruned = F.coalesce(F.col(step) >= F.col("fired_at"), F.lit(False))
-    decision = F.when(pruned, F.col("_decision")).otherwise(F.lit(k.UNDETERMINED))
-    result = joined.withColumns({"is_pruned": pruned, "pruning_decision": decision})
-    if options.get("litter"):
-        result = result.withColumn("litter_leaf", F.when(pruned, F.col("litter_leaf")))
-    return result.drop("fired_at", "_decision")
+        made["litter_leaf"] = F.col("_fired.litter")
+    return result.withColumns(made).drop("_fired")
 
 
 def prune_effects(
@@ -116,52 +104,77 @@ def prune_effects(
     return decided.withColumns({**emptying, state: new_state})
 
 
+def _scenario_table(spark: SparkSession, scenarios: DataFrame | Sequence[Mapping[str, object]]) -> DataFrame:
+    """(rank_leaves_left, window_duration, start_date, end_date) of a table or of mappings."""
+    if not isinstance(scenarios, DataFrame):
+        rows = [(s["rank_leaves_left"], s["window_duration"], str(s["start_date"]), str(s["end_date"])) for s in scenarios]
+        names = "rank_leaves_left int, window_duration int, start_date string, end_date string"
+        scenarios = spark.createDataFrame(rows, names)
+    dates = [F.col(name).cast("date").alias(name) for name in ("start_date", "end_date")]
+    return scenarios.select("rank_leaves_left", "window_duration", *dates)
+
+
+def _calendar_cuts(scenarios: DataFrame) -> DataFrame:
+    """(_day, _from): every day inside some window, and the last day up to it on which a window begins or has ended.
+
+    Every window then consists of whole stretches of equal ``_from``. Bounded by the calendar, as is the window here.
+    """
+    ends = F.array("start_date", F.date_add("end_date", 1))
+    ahead = scenarios.where(F.col("start_date") <= F.col("end_date"))
+    cuts = ahead.select(F.explode(ends).alias("_from")).distinct()
+    cuts = cuts.withColumn("_next", F.lead("_from").over(Window.orderBy("_from"))).where(F.col("_next").isNotNull())
+    return cuts.select("_from", F.explode(F.sequence("_from", F.date_sub("_next", 1))).alias("_day"))
+
+
 def prune_sweep(
     df: DataFrame,
-    scenarios: Sequence[Mapping[str, object]],
+    scenarios: DataFrame | Sequence[Mapping[str, object]],
     rank_max: int = k.RANK_PRUNING,
     keys: Sequence[str] = LEAF,
     step: str = "timestep",
     rank: str = "rank",
     state: str = "state",
     date: str = "date",
+    parts: int = 1,
 ) -> DataFrame:
-    """Pruning of every leaf under every scenario.
-
-    A scenario maps ``rank_leaves_left``, ``window_duration``, ``start_date`` and ``end_date``. Only
-    the window condition differs between scenarios, so all first steps come from one aggregation
-    with one extra minimum per scenario. The rows of the leaf table are never multiplied; the
-    scenarios are laid out after the aggregation, one row per leaf.
+    """Pruning of every leaf under every scenario, a row each.
+
+    ``scenarios`` is a table, or mappings, of ``rank_leaves_left``, ``window_duration``, ``start_date`` and
+    ``end_date``; equal scenarios stay scenarios of their own. Only the window condition differs between them. Their dates cut the calendar into
+    stretches, and a leaf is summed up, on the map side first, as the first step at which it showed a
+    rank in a stretch. A scenario takes the least of those inside its window with rank enough. The plan
+    is the same for any number of scenarios, the rows of the leaf table are never multiplied, and the
+    scenarios are laid out after the aggregation, from ``parts`` lists of them.
     """
-    windows = [
-        _in_window(rank, date, s["rank_leaves_left"], s["start_date"], s["end_date"])
-        for s in scenarios
-    ]
-    first_steps = df.groupBy(*keys).agg(
+    table = _scenario_table(df.sparkSession, scenarios)
+    used = [*keys, step, rank, state, F.col(date).cast("date").alias("_day")]
+    dated = df.select(*used).join(_calendar_cuts(table), "_day", "left")
+    shown = dated.withColumn("_shown", F.when(F.col("_from").isNotNull(), F.col(rank)))
+    stairs = shown.groupBy(*keys, "_from", "_shown").agg(
+        F.min(step).alias("_step"),
         _first_step(F.col(rank) > rank_max, step).alias("_rank"),
         _first_step(F.col(state) == k.PRUNED, step).alias("_harvest"),
-        *[_first_step(w, step).alias(f"_window_{i}") for i, w in enumerate(windows)],
     )
-    laid_out = F.array(
-        *[
-            F.struct(
-                F.lit(s["rank_leaves_left"]).alias("rank_leaves_left"),
-                F.lit(s["window_duration"]).alias("window_duration"),
-                F.col(f"_window_{i}").alias("_window"),
-            )
-            for i, s in enumerate(scenarios)
-        ]
+    stair = F.when(F.col("_shown").isNotNull(), F.struct("_from", "_shown", "_step"))
+    leaves = stairs.groupBy(*keys).agg(
+        F.min("_rank").alias("_rank"), F.min("_harvest").alias("_harvest"), F.collect_list(stair).alias("_stairs")
     )
-    rows = first_steps.withColumn("_s", F.explode(laid_out)).select(
-        *keys, "_rank", "_harvest", "_s.*"
+    part = F.pmod(F.xxhash64(*table.columns), F.lit(parts)).cast("int").alias("_part")
+    lists = table.groupBy(part).agg(F.collect_list(F.struct(*table.columns)).alias("_list"))
+    each = leaves.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = each.join(lists, "_part").withColumn("_s", F.explode("_list")).select(
+        *keys, "_rank", "_harvest", "_stairs", "_s.*"
     )
+    inside = F.filter(
+        "_stairs",
+        lambda s: (s["_shown"] >= F.col("rank_leaves_left")) & s["_from"].between(F.col("start_date"), F.col("end_date")),
+    )
+    rows = rows.withColumn("_window", F.array_min(F.transform(inside, lambda s: s["_step"])))
     fired = F.least("_window", "_rank", "_harvest")
-    return rows.withColumns(
-        {
-            "fired_at": fired,
-            "pruning_decision": _decision(fired, F.col("_window"), F.col("_rank")),
-        }
-    ).drop("_window", "_rank", "_harvest")
+    decision = _decision(fired, F.col("_window"), F.col("_rank"))
+    return rows.select(
+        *keys, "rank_leaves_left", "window_duration", fired.alias("fired_at"), decision.alias("pruning_decision")
+    )
 
 
 def inflorescence_state(

@@ -135,6 +135,51 @@ def test_prune_sweep_is_the_rule_per_scenario(spark):
             assert got[(node, s["rank_leaves_left"], s["window_duration"])] == (step, label)
 
 
+def test_pruning_reads_the_table_once_and_blocks_do_not_show(spark, tmp_path):
+    rows = leaf_rows(20, 60)
+    rows += [("PR", None, step, *rest) for _, node, step, *rest in rows if node == 3]
+    rows += [("PR", 99, None, START, 60, "Opened", 1.0, 2.0, 3.0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "leaf"))
+    df = spark.read.parquet(str(tmp_path / "leaf"))
+    whole = rules.prune_effects(df, 25, START, END, rank_max=40)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    months = {"_month": F.trunc("date", "month")}
+    cut = rules.prune_effects(df, 25, START, END, rank_max=40, blocks=months)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    assert not whole.where("node = 99").first()["is_pruned"]
+    assert whole.where("node IS NULL").count() == 60
+
+
+def test_prune_sweep_of_a_large_scenario_table(spark):
+    rows = leaf_rows(6, 60, seed=9)
+    rng = random.Random(1)
+    table = []
+    for k_ in range(1000):
+        start = FIRST + dt.timedelta(days=rng.randrange(-20, 200))
+        table.append((rng.randrange(-5, 50), k_, start, start + dt.timedelta(days=rng.randrange(-5, 90))))
+    table += [(None, 1000, START, END), (25, 1001, None, END)]
+    names = "rank_leaves_left int, window_duration int, start_date date, end_date date"
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    swept = rules.prune_sweep(df, spark.createDataFrame(table, names), rank_max=45, parts=3)
+    got = {(r["node"], r["window_duration"]): (r["fired_at"], r["pruning_decision"]) for r in swept.collect()}
+    assert len(got) == swept.count() == 6 * 1002
+    for least, number, start, end in table:
+        known = least is not None and start is not None
+        _, pruned = loop(rows, 45, least if known else 10**6, start or START, end)
+        for node in range(6):
+            label, _, step = pruned.get(("PR", node), (k.UNDETERMINED, None, None))
+            assert got[(node, number)] == (step, label)
+
+
+def test_prune_sweep_of_nothing(spark):
+    df = spark.createDataFrame(leaf_rows(2, 5), SCHEMA)
+    assert rules.prune_sweep(df, []).count() == 0
+    one = [{"rank_leaves_left": 1, "window_duration": 6, "start_date": START, "end_date": END}]
+    assert rules.prune_sweep(df.limit(0), [*one, *one]).count() == 0
+    assert rules.prune_sweep(df, [*one, *one]).count() == 4
+
+
 def test_inflorescence_thresholds(spark):
     rows = [
         ("Male", 6300.0, 1, 0, "undetermined", "undetermined"),
