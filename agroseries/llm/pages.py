@@ -1,6 +1,9 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree: a node is a chain of tags and class names. Two
+The pages of a host are merged into one tree: a node is a chain of tags and class names, keyed by a
+64-bit hash of its parent's key and its own label. Branches more than 64 nodes deep are judged with
+their ancestor at that depth, so that a page of n tags has at most 64 n pairs of node and ancestor; their texts stay blocks of
+their own. Two
 entropies weigh a node. Content: a text that stands at the node on all of the host's pages has
 entropy 1 and tells nothing, a text of one page has entropy 0; the content importance of a branch is
 one minus the mean over its texts. Presentation: the entropy of the child sequences that the node
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +46,7 @@ CLOSES = {
 SCOPE = frozenset("html body article section main div table ul ol dl blockquote td th form nav header footer aside".split())
 WHOLE = frozenset("html body main article".split())  # hold the content whatever their class names
 FURNITURE_TAGS = frozenset("head nav footer aside button select dialog menu search".split())
+ROOT, MOST_DEPTH = 0, 64
 HOLDER_SHARE = 0.1  # of the page's text, in an article or main that counts as the content
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr "
@@ -57,6 +62,12 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
+def node_key(above: int, label: str) -> int:
+    """Key of a node, as a signed long; the root of a host is 0."""
+    key = xxhash.xxh64_intdigest(f"{above}/{label}")
+    return key - (1 << 64) if key >> 63 else key
+
+
 def label_of(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool]:
     """Node label (tag and class words without digits), whether it is page furniture, and whether a name or form says so."""
     furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside)
@@ -75,7 +86,7 @@ def label_of(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool]:
 class Block(NamedTuple):
     """A text block; ``weak`` and ``holders`` are the branches around it, outer first, by number."""
 
-    path: str
+    node: int
     text: str
     furniture: bool
     weak: tuple[int, ...]
@@ -117,15 +128,32 @@ def cut_names(blocks: list[Block], chains: dict[int, tuple[int, ...]], named: se
     return cut - headed - {w for (w, h), n in inside.items() if 2 * n > (size if h < 0 else held[h])}
 
 
-TOP = ("", "", False, False, (), (), False)
+class Element(NamedTuple):
+    """An open element. ``level`` counts the nodes around it, ``weak`` and ``holders`` are as in a block."""
 
+    tag: str
+    node: int
+    level: int
+    furniture: bool
+    inside: bool
+    weak: tuple[int, ...]
+    holders: tuple[int, ...]
+    heading: bool
 
-def read_page(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
-    """Text blocks (path, text, furniture) in order, and the child sequence of every block node."""
+
+TOP = Element("", ROOT, 0, False, False, (), (), False)
+
+
+def read_page(page: str) -> tuple[list[tuple[int, str, bool]], dict[int, str], dict[int, int]]:
+    """Text blocks (node, text, furniture) in order, the child sequence and the parent of every block node.
+
+    Of weak branches or articles nested in each other more than 64 deep the inner ones count as one.
+    """
     blocks: list[Block] = []
-    children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...], tuple[int, ...], bool]] = []
-    # tag, path, furniture, inside the article, weak branches, articles, in a h1
+    children: dict[int, list[str]] = {}
+    parents: dict[int, int] = {}
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()  # tags on the stack
     chains: dict[int, tuple[int, ...]] = {}
     named: set[int] = set()
     numbers = itertools.count()
@@ -135,8 +163,12 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words:
-            _, path, furniture, _, weak, holders, heading = stack[-1] if stack else TOP
-            blocks.append(Block(path, words, furniture, weak, holders, heading))
+            at = stack[-1] if stack else TOP
+            blocks.append(Block(at.node, words, at.furniture, at.weak, at.holders, at.heading))
+
+    def drop(k: int) -> None:
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
 
     def open_(tag: str, rest: str) -> None:
         if tag in BLOCKS:
@@ -144,38 +176,45 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
             close_implied(("p",))
         if tag in CLOSES:
             close_implied(CLOSES[tag])
-        _, above, furniture, inside, weak, holders, heading = stack[-1] if stack else TOP
+        _, node, level, furniture, inside, weak, holders, heading = stack[-1] if stack else TOP
         label, own, name = label_of(tag, rest, inside)
-        path = f"{above}/{label}" if tag in BLOCKS or own or (name and tag not in WHOLE) else above
         if tag in ("article", "main"):
-            holder = next(numbers)
-            holders, chains[holder] = (*holders, holder), weak
-            named.update([holder] if name else [])
-        elif name and tag not in WHOLE:
+            if len(holders) < MOST_DEPTH:
+                holder = next(numbers)
+                holders, chains[holder] = (*holders, holder), weak
+                named.update([holder] if name else [])
+        elif name and tag not in WHOLE and len(weak) < MOST_DEPTH:
             weak = (*weak, next(numbers))
-        if path != above:
+        if tag in BLOCKS or own or (name and tag not in WHOLE):
             if tag not in BLOCKS:
                 end_block()
-            seen = children.setdefault(above, [])
+            seen = children.setdefault(node, [])
             if not seen or seen[-1] != label:
                 seen.append(label)
-        stack.append((tag, path, furniture or own, bool(holders), weak, holders, heading or tag == "h1"))
+            level += 1
+            if level <= MOST_DEPTH:
+                above, node = node, node_key(node, label)
+                parents[node] = above
+        opened[tag] += 1
+        stack.append(Element(tag, node, level, furniture or own, bool(holders), weak, holders, heading or tag == "h1"))
 
     def close_implied(tags: tuple[str, ...]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
+            if stack[k].tag in tags:
                 end_block()
-                del stack[k:]
-            elif stack[k][0] in SCOPE:
+                drop(k)
+            elif stack[k].tag in SCOPE:
                 return
 
     def close(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                if stack[-1][1] != (stack[k - 1][1] if k else ""):
-                    end_block()
-                del stack[k:]
-                return
+        if not opened[tag]:
+            return
+        k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag)
+        if stack[-1].level != (stack[k - 1].level if k else 0):
+            end_block()
+        drop(k)
 
     at, lower = 0, None
     while found := MARKUP.search(page, at):
@@ -200,40 +239,52 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
     text.append(page[at:])
     end_block()
     cut = cut_names(blocks, chains, named)
-    read = [(b.path, b.text, b.furniture or not cut.isdisjoint(b.weak)) for b in blocks]
-    return read, {path: " ".join(labels) for path, labels in children.items()}
+    read = [(b.node, b.text, b.furniture or not cut.isdisjoint(b.weak)) for b in blocks]
+    return read, {node: " ".join(labels) for node, labels in children.items()}, parents
 
 
-BLOCK = "struct<path:string,text:string,furniture:boolean,first:boolean,first_path:boolean>"
-STYLE = "struct<path:string,style:string>"
+BLOCK = "struct<node:bigint,text:string,furniture:boolean,first:boolean,line:array<bigint>>"
+STYLE = "struct<node:bigint,style:string>"
 _ARROW = pa.struct(
     [
         (
             "blocks",
             pa.list_(
                 pa.struct(
-                    [("path", pa.string()), ("text", pa.string()), ("furniture", pa.bool_()), ("first", pa.bool_()), ("first_path", pa.bool_())]
+                    [("node", pa.int64()), ("text", pa.string()), ("furniture", pa.bool_()), ("first", pa.bool_()), ("line", pa.list_(pa.int64()))]
                 )
             ),
         ),
-        ("styles", pa.list_(pa.struct([("path", pa.string()), ("style", pa.string())]))),
+        ("styles", pa.list_(pa.struct([("node", pa.int64()), ("style", pa.string())]))),
     ]
 )
 
 
+def line_of(node: int, parents: dict[int, int]) -> list[int]:
+    """The node and all nodes above it, the root last."""
+    line = [node]
+    while line[-1] != ROOT:
+        line.append(parents[line[-1]])
+    return line
+
+
 def parse(page: Column) -> Column:
-    """Blocks and node styles of a page (null: none)."""
+    """Blocks and node styles of a page (null: none).
+
+    ``first`` marks a text's first block at its node; the first block of a node has its ``line``.
+    """
     result = T.StructType.fromDDL(f"blocks array<{BLOCK}>, styles array<{STYLE}>")
 
     def rows(pages: pa.Array) -> Iterator[dict]:
         for value in pages:
-            blocks, styles = read_page((value.as_py() or b"").decode("utf-8", "replace"))
-            seen, paths, out = set(), set(), []
-            for path, text, furniture in blocks:
-                out.append({"path": path, "text": text, "furniture": furniture, "first": (path, text) not in seen, "first_path": path not in paths})
-                seen.add((path, text))
-                paths.add(path)
-            yield {"blocks": out, "styles": [{"path": p, "style": s} for p, s in styles.items()]}
+            blocks, styles, parents = read_page((value.as_py() or b"").decode("utf-8", "replace"))
+            seen, nodes, out = set(), set(), []
+            for node, text, furniture in blocks:
+                line = None if node in nodes else line_of(node, parents)
+                out.append({"node": node, "text": text, "furniture": furniture, "first": (node, text) not in seen, "line": line})
+                seen.add((node, text))
+                nodes.add(node)
+            yield {"blocks": out, "styles": [{"node": n, "style": s} for n, s in styles.items()]}
 
     @F.arrow_udf(result)
     def read(pages: pa.Array) -> pa.Array:
@@ -242,21 +293,15 @@ def parse(page: Column) -> Column:
     return read(page.cast("binary"))
 
 
-def prefixes(path: Column) -> Column:
-    """The node and all nodes above it; the root is the empty path."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-
-
 def copy_key(blocks: Column) -> Column:
     """Equal for pages that show the same blocks outside page furniture, or are all furniture and equal."""
-    shown = lambda chosen: F.xxhash64(F.transform(chosen, lambda b: F.struct(b["path"], b["text"])))
+    shown = lambda chosen: F.xxhash64(F.transform(chosen, lambda b: F.struct(b["node"], b["text"])))
     content = F.filter(blocks, lambda b: ~b["furniture"])
     return F.when(F.size(content) > 0, shown(content)).otherwise(shown(blocks))
 
 
-def low_nodes(pages: DataFrame, least: float, least_pages: int, damping: float) -> DataFrame:
-    """(host, path): nodes of the style trees whose combined importance is below ``least``.
+def cut_nodes(pages: DataFrame, least: float, least_pages: int, damping: float) -> DataFrame:
+    """(host, node): nodes with text in a branch of the style tree whose combined importance is below ``least``.
 
     ``pages``: host, copy, blocks, styles. Pages of one host with the same ``copy`` count once, so that
     the entropies measure different pages. Texts are counted by (host, node, text hash) before anything is
@@ -264,36 +309,36 @@ def low_nodes(pages: DataFrame, least: float, least_pages: int, damping: float)
     ``least_pages`` pages are not judged, nor is a host whose root is low: its pages are copies of
     each other, and then the entropies tell nothing.
     """
-    texts = pages.select("host", "copy", F.inline("blocks")).where("first")
-    once = texts.groupBy("host", "path", F.xxhash64("text").alias("key"), "copy").agg(F.max("first_path").alias("first_path"))
-    counts = once.groupBy("host", "path", "key").agg(F.count("*").alias("n"), F.count_if("first_path").alias("pages"))
-    nodes = saved(
-        counts.groupBy("host", "path").agg(
-            F.sum(F.log("n")).alias("logs"), F.count("*").alias("texts"), F.sum("pages").alias("pages")
-        ),
-        "nodes",
+    blocks = pages.select("host", "copy", F.inline("blocks"))
+    seen = blocks.where("first").withColumn("opens", F.col("line").isNotNull())
+    once = seen.groupBy("host", "node", F.xxhash64("text").alias("key"), "copy").agg(F.max("opens").alias("opens"))
+    counts = once.groupBy("host", "node", "key").agg(F.count("*").alias("n"), F.count_if("opens").alias("pages"))
+    nodes = counts.groupBy("host", "node").agg(
+        F.sum(F.log("n")).alias("logs"), F.count("*").alias("texts"), F.sum("pages").alias("pages")
     )
+    lines = saved(blocks.select("host", "node", F.explode("line").alias("branch")).distinct(), "lines")
     # entropy of a text on n of m pages: log n / log m
     entropy = F.when(F.col("pages") > 1, F.col("logs") / F.log("pages")).otherwise(0.0)
-    branch = nodes.select("host", F.explode(prefixes(F.col("path"))).alias("path"), entropy.alias("entropy"), "texts", "pages")
-    content = branch.groupBy("host", "path").agg(
+    branch = lines.join(nodes.select("host", "node", entropy.alias("entropy"), "texts", "pages"), ["host", "node"])
+    content = branch.groupBy("host", "branch").agg(
         (1 - F.sum("entropy") / F.sum("texts")).alias("content"), F.max("pages").alias("pages")
     )
-    styles = pages.select("host", "copy", F.inline("styles")).distinct().groupBy("host", "path", "style").count()
-    shown = styles.groupBy("host", "path").agg(
+    styles = pages.select("host", "copy", F.inline("styles")).distinct().groupBy("host", "node", "style").count()
+    shown = styles.groupBy("host", F.col("node").alias("branch")).agg(
         F.sum("count").alias("m"), F.sum(F.col("count") * F.log("count")).alias("s"), F.count("*").alias("kinds")
     )
     # -sum p log_m p = log m - (sum c log c) / m, over log m
     varied = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    shown = shown.select("host", "path", varied.alias("presentation"), "kinds")
+    shown = shown.select("host", "branch", varied.alias("presentation"), "kinds")
     weight = F.pow(F.lit(damping), F.coalesce("kinds", F.lit(0)))
-    both = content.join(shown, ["host", "path"], "left")
+    both = content.join(shown, ["host", "branch"], "left")
     scored = both.withColumn(
         "importance", (1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * F.col("content")
     )
-    low = scored.where((F.col("importance") < least) & (F.col("pages") >= least_pages)).select("host", "path")
-    copied = low.where(F.col("path") == "").select("host")
-    return low.join(copied, "host", "left_anti")
+    judged = (F.col("importance") < least) & (F.col("pages") >= least_pages)
+    low = saved(scored.where(judged).select("host", "branch"), "low")
+    copied = low.where(F.col("branch") == ROOT).select("host")
+    return lines.join(low.join(copied, "host", "left_anti"), ["host", "branch"]).select("host", "node").distinct()
 
 
 def main_text(
@@ -316,10 +361,12 @@ def main_text(
         F.struct(*keep).alias("row"), host.alias("host"), parse(F.col(html_col)).alias("page")
     ).select("row", "host", "page.*")
     pages = saved(parsed, "pages")
-    low = low_nodes(pages.withColumn("copy", copy_key(F.col("blocks"))), least, least_pages, damping)
-    cuts = saved(low.groupBy("host").agg(F.collect_set("path").alias("cuts")), "cuts")
-    under = lambda b, cut: (b["path"] == cut) | F.startswith(b["path"], F.concat(cut, F.lit("/")))
-    cut_off = lambda b: F.coalesce(F.exists("cuts", lambda c: under(b, c)), F.lit(False))
-    left = F.filter("blocks", lambda b: ~b["furniture"] & ~cut_off(b))
+    low = cut_nodes(pages.withColumn("copy", copy_key(F.col("blocks"))), least, least_pages, damping)
+    cuts = saved(low.groupBy("host").agg(F.collect_set("node").alias("cuts")), "cuts")
+    own = F.transform(F.filter("blocks", lambda b: b["line"].isNotNull()), lambda b: b["node"])
+    here = F.array_intersect(own, F.coalesce("cuts", F.array().cast("array<bigint>")))
+    outside = lambda cut: F.filter("blocks", lambda b: ~b["furniture"] & ~F.array_contains(cut, b["node"]))
+    left = F.element_at(F.transform(F.array(here), outside), 1)  # a bound variable, so that it is made once a page
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
-    return pages.join(cuts, "host", "left").select("row.*", text.alias("text"))
+    made = pages.join(cuts, "host", "left").withColumn("made", text)
+    return made.select("row.*", F.col("made").alias("text"))

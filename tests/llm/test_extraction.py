@@ -1,7 +1,9 @@
 """Personal data and pages."""
 
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -165,3 +167,79 @@ def test_broken_markup_and_awkward_rows(spark):
     assert len(out) == 9 and got[1] == "" and got[2] == "" and got[None] == "plain text"
     assert got[4] == "a b\nc\nd" and got[7] == "1\n2\n3" and got[8].startswith("x <p> éé") and len(got[8]) == 200_008
     assert pages.main_text(df.limit(0), "url", "html").count() == 0
+
+
+def looped_cuts(texts, least=0.3, least_pages=5, damping=0.9):
+    """Nodes to cut of one host, from its pages, one node at a time."""
+    read, seen = [], set()
+    for text in texts:
+        blocks, styles, parents = pages.read_page(text)
+        key = tuple((n, t) for n, t, furniture in blocks if not furniture) or tuple((n, t) for n, t, _ in blocks)
+        if key not in seen:
+            seen.add(key)
+            read.append((blocks, styles, parents))
+    entropies, n_pages, below, shown = {}, {}, {}, {}
+    for blocks, styles, parents in read:
+        for node, text in {(n, t) for n, t, _ in blocks}:
+            entropies.setdefault(node, Counter())[text] += 1
+        for node in {n for n, _, _ in blocks}:
+            n_pages[node] = n_pages.get(node, 0) + 1
+            at = node
+            while True:
+                below.setdefault(at, set()).add(node)
+                if at == pages.ROOT:
+                    break
+                at = parents[at]
+        for node, style in styles.items():
+            shown.setdefault(node, Counter())[style] += 1
+    low = set()
+    for branch, nodes in below.items():
+        content = 1 - sum(
+            sum(math.log(n) for n in entropies[x].values()) / math.log(n_pages[x]) if n_pages[x] > 1 else 0.0 for x in nodes
+        ) / sum(len(entropies[x]) for x in nodes)
+        kinds = shown.get(branch, Counter())
+        m = sum(kinds.values())
+        varied = -sum(c / m * math.log(c / m) for c in kinds.values()) / math.log(m) if m > 1 else float(m == 1)
+        weight = damping ** len(kinds)
+        if (1 - weight) * varied + weight * content < least and max(n_pages[x] for x in nodes) >= least_pages:
+            low.add(branch)
+    return set() if pages.ROOT in low else {node for branch in low for node in below[branch]}
+
+
+def test_entropies_against_a_loop(spark):
+    rng = random.Random(4)
+    rows, cut = [], 0
+    for host in range(6):
+        for page in range(14):
+            parts = []
+            for name in range(5):
+                text = f"same {name}" if rng.random() < (0.9, 0.5, 0.2, 0.95, 0)[name] else f"own {page} {name}"
+                inner = "".join(f"<p>{text}</p>" for _ in range(rng.choice((1, 1, 2))))
+                parts.append(f'<div class="k{"abcde"[name]}">{inner}</div>' if rng.random() < 0.9 else "")
+            rows.append((page, f"http://h{host}.org/{page}", f"<html><body>{''.join(parts)}<section>{page if page % 3 else 0}</section></body></html>"))
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    parsed = df.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), pages.parse(F.col("html")).alias("page"))
+    parsed = parsed.select("host", "page.*").withColumn("copy", pages.copy_key(F.col("blocks")))
+    got = {(r["host"], r["node"]) for r in pages.cut_nodes(parsed, 0.3, 5, 0.9).collect()}
+    want = set()
+    for host in range(6):
+        want |= {(f"h{host}.org", n) for n in looped_cuts([h for _, u, h in rows if f"//h{host}." in u])}
+    assert got == want and want
+
+
+def test_very_deep_pages(spark):
+    n = 100_000
+    deep = [
+        "".join(f'<div class="a">{k} ' for k in range(n)),
+        "<div>" * n + "x" + "</div>" * n + "y",
+        '<div class="ad">' * n + "x" + "</span>" * n,
+        "<article class=menu>" * n + "x" + "<p>y" * n,
+        "<span><p>" * n + "z",
+    ]
+    df = spark.createDataFrame([(k, "http://deep.org/", h) for k, h in enumerate(deep)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df, "url", "html").collect()}
+    assert got[0] == "\n".join(map(str, range(n)))
+    assert got[1] == "x\ny" and got[4] == "z"
+    assert got[3].count("y") == n
+    nodes = {b["node"] for b in df.where("page_id = 0").select(F.inline(pages.parse(F.col("html"))["blocks"])).collect()}
+    assert len(nodes) == pages.MOST_DEPTH
