@@ -11,9 +11,13 @@ Documents with equal sets are folded into one class first. A band key that sever
 a group, and groups are searched in two rounds, neither of which pairs up the members of a near-copy group:
 
 - every member is compared with LEADERS leaders of its group, the same ones in most bands;
-- what that linked is a component; only members of *different* components of a group are compared
-  with each other, since a link inside one would tell nothing new. The join condition counts how many of
-  the filled registers differ in four of their bits, so unlike pairs do not leave the join.
+- what that linked is a component; only members of *different* components of a group can tell more. They are
+  found by what sets them apart from one leader C, the pivot: |A ^ B| = |A ^ C| + |B ^ C| - 2 |(A ^ C) & (B ^ C)|,
+  so a link of A and B asks for a number of shared differences, at least one as not both link with C. Most
+  differences occur once in a group. The others are ordered, rarest first; each member is
+  indexed by so many of its first ones that no link can miss all (prefix filter), and members meet where
+  these agree and enough differences follow on both sides (position filter). These bounds lose no link. The join
+  condition also counts how many of the filled registers differ in four of their bits.
 
 A pair must fit by its set sizes, then by the similarity that its registers estimate, corrected for
 registers that agree by accident; the intersection of the full sets then decides. Both estimates
@@ -208,6 +212,68 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return saved(linked.select("a", "b"), "links")
 
 
+def _differences() -> Column:
+    @F.pandas_udf("array<bigint>")
+    def differences(a: pd.Series, b: pd.Series) -> pd.Series:
+        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True))
+        return pd.Series([np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in sets], dtype=object)
+
+    return differences("set", "set_pivot")
+
+
+def _prefixes(known: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(pivot, token, cls, label, n, rest, over): the first differences of each member from the pivot of its group.
+
+    ``rest`` counts the member's ordered differences from this one on. Members a and b link only if they
+    share (over_a + over_b) / (2 (100 + percent)) differences or more.
+    """
+    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    open_ = saved(known.join(mixed.select("band"), "band", "left_semi"), "open")
+    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
+    leading = open_.where("leads").join(degree, "cls", "left")
+    best = F.max(F.struct(F.coalesce("degree", F.lit(0)), -F.col("cls"), "cls", "label")).alias("best")
+    pivots = leading.groupBy("band").agg(best).select("band", F.col("best.cls").alias("pivot"), F.col("best.label").alias("of"))
+    members = open_.join(saved(pivots, "pivots"), "band").where("cls <> pivot")
+    members = members.select("pivot", "cls", "label", (F.col("label") == F.col("of")).alias("own")).distinct()
+
+    theirs = sets.select(F.col("cls").alias("pivot"), F.col("set").alias("set_pivot"))
+    n = (F.octet_length("set") / 8).cast("bigint").alias("n")
+    apart = members.join(sets, "cls").join(theirs, "pivot").withColumn("tokens", _differences())
+    apart = saved(apart.select("pivot", "cls", "label", "own", n, "tokens"), "apart")
+    each = apart.select("pivot", "cls", F.explode("tokens").alias("token"))
+    several = each.groupBy("pivot", "token").agg(F.count("*").alias("seen")).where("seen > 1")
+    tokens = F.sort_array(F.collect_list(F.struct("seen", "token"))).alias("tokens")
+    ordered = each.join(several, ["pivot", "token"]).groupBy("pivot", "cls").agg(tokens)
+
+    over = (100 + percent) * F.size("tokens").cast("bigint") - (100 - percent) * F.col("n")
+    ordered = ordered.join(apart.select("pivot", "cls", "label", "own", "n", over.alias("over")), ["pivot", "cls"])
+    reach = 2 * (100 + percent) * F.size("tokens") - F.col("over")
+    ordered = saved(ordered.withColumn("reach", reach), "ordered")
+    other = lambda c: F.when(~F.col("own"), F.col(c))  # noqa: E731  what the pivot's own component can link with
+    bounds = ordered.groupBy("pivot").agg(
+        F.min("over").alias("low"), F.max("reach").alias("high"), F.min(other("over")).alias("low_other"), F.max(other("reach")).alias("high_other")
+    )
+    low, high = (F.when(F.col("own"), F.col(f"{c}_other")).otherwise(F.col(c)) for c in ("low", "high"))
+    found = ordered.join(saved(bounds, "bounds"), "pivot").where((F.col("over") <= high) & (low <= F.col("reach")))
+    least = F.greatest(F.lit(1), F.ceil((F.col("over") + low) / (2 * (100 + percent))))
+    take = F.greatest(F.lit(0), F.size("tokens") - least + 1).cast("int")
+    found = found.select("*", F.size("tokens").alias("size"), F.posexplode(F.slice("tokens", F.lit(1), take)).alias("at", "one"))
+    return found.select("pivot", F.col("one.token").alias("token"), "cls", "label", "n", (F.col("size") - F.col("at")).alias("rest"), "over")
+
+
+def _across(known: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share a group and may be similar enough."""
+    first = saved(_prefixes(known, links, sets, percent).join(classes.select("cls", "signed"), "cls"), "prefixes")
+    columns = ("n", "label", "rest", "over", "signed")
+    side = lambda of: first.select("pivot", "token", F.col("cls").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
+    one, two = side("a"), side("b")
+    met = (one["pivot"] == two["pivot"]) & (one["token"] == two["token"])
+    apart = met & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
+    enough = 2 * (100 + percent) * F.least("rest_a", "rest_b") >= F.col("over_a") + F.col("over_b")
+    fitting = enough & _fits(F.col("n_a"), F.col("n_b"), percent) & _alike("signed_a", "signed_b", percent)
+    return one.join(two, apart & fitting).select("a", "b").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 4, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of ``df``.
 
@@ -242,21 +308,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 4, p
     stars = stars.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
     links = _confirmed(stars, classes, sets, percent)
     label = components(links, "a", "b").withColumnRenamed("node", "cls")
-    known = shared.join(label, "cls", "left").select("band", "cls", F.coalesce("label", "cls").alias("label"))
-    known = saved(known, "labelled")
-    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    open_ = known.join(mixed.select("band"), "band", "left_semi").join(classes.select("cls", "n", "signed"), "cls")
-    open_ = saved(open_, "open")
-    side = lambda of: open_.select("band", F.col("cls").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in ("n", "label", "signed")])
-    one, two = side("a"), side("b")
-    apart = (one["band"] == two["band"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
-    fitting = _fits(F.col("n_a"), F.col("n_b"), percent) & _alike("signed_a", "signed_b", percent)
-    across = one.join(two, apart & fitting).select("a", "b").distinct()
-    links = links.unionByName(_confirmed(across, classes, sets, percent))
-
-    label = components(links, "a", "b").withColumnRenamed("node", "cls")
+    leads = F.array_contains("leaders", F.col("cls")).alias("leads")
+    known = shared.join(label, "cls", "left").select("band", "cls", F.coalesce("label", "cls").alias("label"), leads)
+    across = _across(saved(known, "labelled"), links, classes, sets, percent)
+    more = _confirmed(across, classes, sets, percent)
+    for side in ("a", "b"):  # the components known so far are the nodes now
+        theirs = label.select(F.col("cls").alias(side), F.col("label").alias(f"label_{side}"))
+        more = more.join(theirs, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
+    merged = components(more, "label_a", "label_b").select(F.col("node").alias("label"), F.col("label").alias("joined"))
     named = classes.select("cls", "digest", "least").join(label, "cls", "left")
-    named = named.withColumn("label", F.coalesce("label", "cls"))
+    named = named.withColumn("label", F.coalesce("label", "cls")).join(merged, "label", "left")
+    named = named.withColumn("label", F.coalesce("joined", "label")).drop("joined")
     smallest = named.groupBy("label").agg(F.min("least").alias("smallest"))
     found = saved(named.join(smallest, "label").select("digest", F.col("smallest.id").alias("smallest")), "components")
     several = F.col("n") > 0

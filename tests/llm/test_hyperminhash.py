@@ -163,3 +163,38 @@ def test_a_hot_group_makes_no_pairs_inside(spark):
     finally:
         hyperminhash._confirmed = confirmed
     assert seen[0] < 40 * 300 and seen[1] == 0
+
+
+def test_a_hot_group_of_many_components_makes_few_pairs(spark):
+    """Half of the near copies link with none of the others; a few of them link with each other only."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(words, at):
+        out = list(words)
+        for i in at:
+            out[i] = f"x{rng.randrange(10**9)}"
+        return out
+
+    texts = [edited(base, rng.sample(range(150), k)) for k in [1] * 150 + [5, 6, 7] * 50]
+    texts += [edited(texts[-k], [rng.randrange(150)]) for k in range(1, 13)]  # linked with one far copy each
+    rows = [(i, " ".join(t)) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, edges = [], []
+    confirmed, components = hyperminhash._confirmed, hyperminhash.components
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    def counting_edges(links, a, b):
+        edges.append(links.count())
+        return components(links, a, b)
+
+    hyperminhash._confirmed, hyperminhash.components = counting, counting_edges
+    try:
+        assert made(df) == brute(rows)
+    finally:
+        hyperminhash._confirmed, hyperminhash.components = confirmed, components
+    assert 0 < seen[1] < 2 * len(rows)
+    assert len(edges) == 2 and edges[1] <= seen[1] < edges[0]  # links inside a component are not walked again
