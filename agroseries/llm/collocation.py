@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from agroseries.sources.shared import saved
 
 SLICE, PART = 16 << 20, 16 << 20
-LEAST_PARTS, SALTS = 64, 32
+LEAST_PARTS, SALTS, ROWS = 64, 32, 16
 WORDS = 3
 BREAK = b"."  # a separator itself, so never part of a word
 _BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", BREAK * 9)
@@ -71,13 +71,17 @@ def survivors(summaries: Iterable[Summary], mass: int, threshold: int) -> np.nda
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    x = (x ^ (x >> np.uint64(29))) * _MIX
-    return x ^ (x >> np.uint64(32))
+    out = x >> np.uint64(32)
+    out ^= x
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    out *= _MIX
+    out ^= out >> np.uint64(32)
+    return out
 
 
 class Items:
-    """The items of some texts: for each length n, the hashes and where they begin."""
+    """The words of some texts; ``runs`` makes their items, one length at a time to hold few at once."""
 
     def __init__(self, texts: Iterator[tuple[str, str]]):
         known: dict[bytes, int] = {BREAK: 0}
@@ -93,17 +97,18 @@ class Items:
         self.words, self.names = list(known), list(names)
         empty = [np.zeros(0, np.int32)]
         self.ids, self.langs = np.concatenate(runs or empty), np.concatenate(langs or empty)
-        word = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)[self.ids]
+
+    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 1 to WORDS, where its items begin and their hashes."""
+        word = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
         seed = np.array([xxhash.xxh3_64_intdigest(n.encode(), 1) for n in self.names], np.uint64)
         whole = self.ids != 0
         rolled = seed[self.langs] if len(seed) else np.zeros(0, np.uint64)
-        self.hashes, self.starts = [], []
         for n in range(WORDS):
             if n:
                 rolled, whole = rolled[:-1], whole[:-1] & (self.ids[n:] != 0)
-            rolled = _mixed(rolled + word[n:])
-            self.starts.append(np.flatnonzero(whole))
-            self.hashes.append(rolled[whole])
+            rolled = _mixed(rolled + word[self.ids[n:]])
+            yield np.flatnonzero(whole), rolled[whole]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -130,9 +135,32 @@ def _cuts(hashes: np.ndarray, parts: int) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
+def _summaries(items: Items, parts: int) -> Iterator[tuple[int, Summary]]:
+    """The part's number and the distinct items in it with their counts, for each part that has any."""
+    lengths = [np.unique(hashes, return_counts=True) for _, hashes in items.runs()]
+    cuts = [_cuts(hashes, parts) for hashes, _ in lengths]
+    for part in range(parts):
+        own = [(hashes[slice(*cut[part])], counts[slice(*cut[part])]) for (hashes, counts), cut in zip(lengths, cuts, strict=True)]
+        hashes, at = np.unique(np.concatenate([h for h, _ in own]), return_inverse=True)
+        if len(hashes):
+            counts = np.zeros(len(hashes), np.int64)
+            np.add.at(counts, at, np.concatenate([c for _, c in own]))
+            yield part, Summary(hashes, counts)
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values the sorted array holds."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ordered, values)
+    return ordered[np.minimum(at, len(ordered) - 1, out=at)] == values
+
+
 def _texts(batches: list[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
     for batch in batches:
-        yield from zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
+        for start in range(0, len(batch), ROWS):
+            some = batch.slice(start, ROWS)
+            yield from zip(some.column("lang").to_pylist(), some.column("text").to_pylist(), strict=True)
 
 
 def sliced(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -184,12 +212,14 @@ def frequent(df: DataFrame, lang_col: str, text_col: str, threshold: int) -> Dat
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, items in _by_slice(batches):
-            hashes, counts = np.unique(np.concatenate(items.hashes), return_counts=True)
-            out = []
-            for part, (a, b) in enumerate(_cuts(hashes, parts)):
-                if a < b:
-                    out.append((number, part, int(counts[a:b].sum()), _steps(hashes[a:b]), _planes(counts[a:b].astype(np.int64))))
-            yield pa.RecordBatch.from_pylist([dict(zip(summary.names, x, strict=True)) for x in out], summary)
+            out: list[dict] = []
+            for part, (hashes, counts, _) in _summaries(items, parts):
+                row = (number, part, int(counts.sum()), _steps(hashes), _planes(counts))
+                out.append(dict(zip(summary.names, row, strict=True)))
+                if len(out) == ROWS:  # sent while the other parts are still to be made
+                    yield pa.RecordBatch.from_pylist(out, summary)
+                    out = []
+            yield pa.RecordBatch.from_pylist(out, summary)
 
     summary = pa.schema([(c, pa.int64()) for c in ("slice", "part", "mass")] + [(c, pa.binary()) for c in ("steps", "counts")])
     pass_one = rows.mapInArrow(summarise, "slice bigint, part bigint, mass bigint, steps binary, counts binary")
@@ -207,10 +237,10 @@ def frequent(df: DataFrame, lang_col: str, text_col: str, threshold: int) -> Dat
         items = Items(_texts(texts.to_batches()))
         alive = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_hashes(b.as_py()) for b in kept.column("steps")]]))
         langs, runs, counts = [*items.names], [""] * len(items.names), []
-        counts += np.bincount(items.langs[items.starts[0]], minlength=len(items.names)).tolist()
+        counts += np.bincount(items.langs[items.ids != 0], minlength=len(items.names)).tolist()
         names = [w.decode() for w in items.words]
-        for n, (starts, found) in enumerate(zip(items.starts, items.hashes, strict=True), 1):
-            starts = starts[np.isin(found, alive)]
+        for n, (starts, found) in enumerate(items.runs(), 1):
+            starts = starts[_among(found, alive)]
             keys = np.stack([items.langs[starts], *[items.ids[starts + k] for k in range(n)]], axis=1)
             keys = keys[np.lexsort(keys.T[::-1])]
             first = np.flatnonzero(np.r_[True, np.any(keys[1:] != keys[:-1], axis=1)][: len(keys)])

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -111,3 +112,19 @@ def test_awkward_rows_and_clashing_names(spark):
 
 def test_no_rows(spark):
     assert made(empty(spark)) == []
+
+
+def test_a_slice_is_summarised_in_little_memory():
+    """One length of items at a time, and the parts one after the other."""
+    rng = np.random.default_rng(6)
+    slice_ = [("en", " ".join(f"w{k}" for k in rng.integers(0, 20000, 1000))) for _ in range(300)]
+    total = 0
+    tracemalloc.start()
+    try:
+        for part, summary in collocation._summaries(collocation.Items(iter(slice_)), 64):
+            total += int(summary.counts.sum())
+            assert (summary.hashes[1:] > summary.hashes[:-1]).all() and int(summary.hashes[0]) >> 58 == part
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 300 * (1000 + 999 + 998) and peak < 100 * 300_000
